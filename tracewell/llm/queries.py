@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, mih, packing, pairs, rankfuse, residue, splitter
+from . import bpe, generated, mih, packing, pairs, rankfuse, residue, splitter
 
 SCORES = [("bm25_score", True), ("vec_distance", True)]
 
@@ -21,6 +21,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pairs(spark, d).select("symbol_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return generated.classify(table(spark, d, "files"), table(spark, d, "symbols")).select("file_id")
+
+
 def _ranking(spark: SparkSession, d: str) -> DataFrame:
     scores = rankfuse.search_scores(table(spark, d, "symbols_fts"), table(spark, d, "symbol_embeddings"))
     return rankfuse.fuse_rankings(scores, "query_id", "symbol_id", SCORES)
@@ -64,4 +68,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_ranking, p6_found, p6_neighbours, p7_found, p7_pieces, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p5_found, p5_ranking, p6_found, p6_neighbours, p7_found, p7_pieces, p8_ids, p9_containers, p10_found)}
