@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, generated, mih, packing, pairs, rankfuse, residue, splitter
+from . import bpe, generated, markup, mih, packing, pairs, rankfuse, residue, splitter
 
 SCORES = [("bm25_score", True), ("vec_distance", True)]
 
@@ -21,6 +21,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pairs(spark, d).select("symbol_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.label_and_clean(table(spark, d, "doc_chunks"), with_text=False).where("is_markup").select("chunk_id")
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.label_and_clean(table(spark, d, "doc_chunks")).select("chunk_id", "is_markup", "clean")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return generated.classify(table(spark, d, "files"), table(spark, d, "symbols")).select("file_id")
 
@@ -68,4 +76,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p5_found, p5_ranking, p6_found, p6_neighbours, p7_found, p7_pieces, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_clean, p4_found, p5_found, p5_ranking, p6_found, p6_neighbours, p7_found, p7_pieces, p8_ids, p9_containers, p10_found)}
