@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import incremental
 from ..session import table
+from . import retrieval, structure
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,12 +27,12 @@ select r.run_id, p.path from p join r using (seq) where p.h is distinct from p.b
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p1_found(spark, d)
+    return retrieval.hybrid_rrf(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found} | retrieval.queries() | structure.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL} | retrieval.oracle_sql() | structure.oracle_sql()
