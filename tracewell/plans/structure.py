@@ -7,6 +7,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..extract import code as code_extract
+from ..extract import markdown
 from ..functions import text
 from ..operators import code, deadcode, docs, history, merge, stats
 from ..session import table
@@ -284,6 +286,36 @@ def file_fallback(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.lit("file").alias("kind"), F.substring("text", 1, 5000).alias("source_text"), (F.size(F.split("text", "\n", -1))).alias("line_end"))
 
 
+def window_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.window_chunks(table(spark, d, "doc_chunks"), "chunk_id", "content")
+
+
+_WHITE = "[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+"
+CHUNKS_SQL = f"""with recursive st as (
+  select chunk_id, content, length(content) as n, 0 as s, 0 as k from doc_chunks where length(content) > {markdown.MAX_CHUNK}
+  union all
+  select chunk_id, content, n, case when e < n then e - {markdown.OVERLAP} else n end as s, k + 1 as k from (
+    select chunk_id, content, n, s, k, case when s + {markdown.MAX_CHUNK} >= n then s + {markdown.MAX_CHUNK} when dot > {markdown.MAX_CHUNK // 2} then s + dot + 1 when line > {markdown.MAX_CHUNK // 2} then s + line else s + {markdown.MAX_CHUNK} end as e from (
+      select *, length(regexp_extract(substring(content, s + 1, {markdown.MAX_CHUNK}), '(?s)^(.*)\\. ', 1)) as dot, length(regexp_extract(substring(content, s + 1, {markdown.MAX_CHUNK}), '(?s)^(.*)\\n', 1)) as line from st where s < n))),
+cut as (select chunk_id, k, s, content, n, length(regexp_extract(substring(content, s + 1, {markdown.MAX_CHUNK}), '(?s)^(.*)\\. ', 1)) as dot, length(regexp_extract(substring(content, s + 1, {markdown.MAX_CHUNK}), '(?s)^(.*)\\n', 1)) as line from st where s < n),
+pieces as (select chunk_id, k, regexp_replace(substring(content, s + 1, case when s + {markdown.MAX_CHUNK} >= n then {markdown.MAX_CHUNK} when dot > {markdown.MAX_CHUNK // 2} then dot + 1 when line > {markdown.MAX_CHUNK // 2} then line else {markdown.MAX_CHUNK} end), '^{_WHITE}|{_WHITE}$', '', 'g') as content from cut)
+select chunk_id, (row_number() over (partition by chunk_id order by k) - 1)::int as chunk_index, content from pieces where content <> ''
+union all select chunk_id, 0 as chunk_index, content from doc_chunks where length(content) <= {markdown.MAX_CHUNK}"""
+
+
+def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the documents read as markdown."""
+    rows = table(spark, d, "documents").where("doc_type in ('readme', 'guide') and text is not null")
+    return markdown.chunk_all(rows.select(F.col("doc_id").alias("doc_file_id"), F.col("text").alias("content")))
+
+
+def extracted_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols and references taken anew from the texts of the stored classes and whole-file fallbacks."""
+    rows = table(spark, d, "symbols").where("kind in ('class', 'file') and source_text is not null").join(table(spark, d, "files").select("file_id", "path"), "file_id")
+    found = code_extract.extract_all(rows.select(F.col("symbol_id").alias("file_id"), "path", F.col("source_text").alias("content")))
+    return found.groupBy("file_id", "what", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("line_end").alias("last_line"))
+
+
 def short_docs_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "doc_chunks").join(table(spark, d, "doc_files"), "doc_file_id").where(F.length("content") >= 50)
     return rows.groupBy("doc_type", docs.doc_type(F.col("path")).alias("by_name")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content").cast("bigint")).alias("chars"))
@@ -292,7 +324,7 @@ def short_docs_filter(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     named = (
         find_references, file_structure, all_structures, signatures, dead_code, dead_code_all, dead_code_extracted, reference_counts, dead_code_scoring, dead_code_limitations, context_chunks, docstring_anti, commit_search, file_history, commit_detail,
-        blame_islands, kind_histogram, ext_histogram, ext_histogram_compat, index_stats, last_indexed, freshness_split, freshness_hash, upsert_files, stale_cleanup, symbol_dedup, reference_dedup, file_fallback, short_docs_filter,
+        blame_islands, kind_histogram, ext_histogram, ext_histogram_compat, index_stats, last_indexed, freshness_split, freshness_hash, upsert_files, stale_cleanup, symbol_dedup, reference_dedup, file_fallback, short_docs_filter, window_chunks, markdown_sections, extracted_symbols,
     )
     return {f.__name__: f for f in named}
 
@@ -327,5 +359,6 @@ def oracle_sql() -> dict[str, str]:
         "symbol_dedup": "select min(symbol_id) as symbol_id, file_id, name, kind, line_start from symbols group by file_id, name, kind, line_start",
         "reference_dedup": "select symbol_name, count(*)::bigint as n_places, count(distinct file_id)::bigint as n_files from (select distinct symbol_name, file_id, line_number from references_) group by 1",
         "file_fallback": "select doc_id, 'file' as kind, substring(text, 1, 5000) as source_text, len(string_split(text, chr(10)))::int as line_end from documents where text is not null",
+        "window_chunks": CHUNKS_SQL,
         "short_docs_filter": r"select doc_type, case when regexp_matches(lower(regexp_extract(path, '[^/]*$')), '^readme(\.(md|markdown|txt|rst))?$') then 'readme' else 'markdown' end as by_name, count(*)::bigint as n, sum(length(content))::bigint as chars from doc_chunks join doc_files using (doc_file_id) where length(content) >= 50 group by 1, 2",
     }
