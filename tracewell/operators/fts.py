@@ -8,6 +8,7 @@ so that a query reads the row groups of its terms only; statistics cover all row
 
 from __future__ import annotations
 
+import logging
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from ..errors import SearchError
 from ..validation import fts_query
 
+logger = logging.getLogger(__name__)
+
 # Parameters of the score, and the score of a term that more than half of the rows hold.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Candidates of a retrieval leg.
@@ -69,6 +72,12 @@ class Node:
             return [self.phrase]
         return self.left.leaves() + self.right.leaves()
 
+    def scored(self) -> list[tuple[str, ...]]:
+        """Leaves that add to the score, as often as they stand in the query: those not under the right side of a NOT."""
+        if self.op == "leaf":
+            return [self.phrase]
+        return self.left.scored() + ([] if self.op == "not" else self.right.scored())
+
 
 def _lex(text: str, strict: bool) -> list[tuple[str, tuple[str, ...]]]:
     out, i = [], 0
@@ -201,7 +210,7 @@ def bm25(index: DataFrame, doc_lengths: DataFrame, query: str, top_k: int | None
     """``id, score``: matches of the query, best first; smaller (more negative) is better, ties by id.
 
     ``index`` comes from ``postings``, ``doc_lengths`` from ``lengths``. A query that matches
-    nothing or, if strict, breaks the grammar, gives no rows.
+    nothing or breaks the grammar gives no rows, and the latter a warning.
 
     Only the postings of the query's terms are read; a row's counts are summed map-side. The
     number of rows, their mean length and each phrase's number of rows enter as scalar
@@ -209,9 +218,8 @@ def bm25(index: DataFrame, doc_lengths: DataFrame, query: str, top_k: int | None
     """
     try:
         tree = parse(query, strict)
-    except SearchError:
-        if not strict:
-            raise
+    except SearchError as e:
+        logger.warning("keyword leg is empty: %s", e.message)
         tree = None
     id_type = index.schema["id"].dataType.simpleString()
     if tree is None:
@@ -236,8 +244,7 @@ def bm25(index: DataFrame, doc_lengths: DataFrame, query: str, top_k: int | None
     df = per_row.agg(*[F.count_if(F.col(f"_f{k}") > 0).cast("double").alias(f"d{k}") for k in range(len(leaves))])
     n, avg = sizes.select("n").scalar(), sizes.select("avg").scalar()
     score = F.lit(0.0)
-    # A leaf under NOT adds nothing: where the row matches, it isn't there.
-    for k in range(len(leaves)):
+    for k in [leaves.index(p) for p in tree.scored()]:
         d, f = df.select(f"d{k}").scalar(), F.col(f"_f{k}").cast("double")
         idf = F.log((n - d + 0.5) / (d + 0.5))
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)

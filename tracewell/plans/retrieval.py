@@ -121,7 +121,7 @@ def sql_leg(corpus: tuple, query: str, tag: str = "k") -> str:
     stats = ", ".join(f"sum((f{k} > 0)::int)::double as d{k}" for k in range(len(leaves)))
     part = " + ".join(
         f"(case when ln((n - d{k} + 0.5) / (d{k} + 0.5)) <= 0 then {fts.LEAST_IDF} else ln((n - d{k} + 0.5) / (d{k} + 0.5)) end) * (f{k} * {fts.K1 + 1}) / (f{k} + {fts.K1} * (1 - {fts.B} + {fts.B} * len_ / avg_))"
-        for k in range(len(leaves))
+        for k in [leaves.index(p) for p in tree.scored()]
     )
     return f"""{tag}_tok as (select {key} as id, {lists} from {name}),
 {tag}_cnt as (select id, {counts}, {total} as len_ from {tag}_tok),
