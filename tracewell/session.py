@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import pathlib
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,5 +53,23 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracewell_shipped", False):
+        return
+    package = pathlib.Path(__file__).parent
+    with tempfile.TemporaryDirectory() as folder:
+        archive = pathlib.Path(folder, "tracewell.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        # The context keeps its own copy and serves it to the executors.
+        kept = pathlib.Path(sc._temp_dir, archive.name)
+        shutil.copy(archive, kept)
+    sc.addPyFile(str(kept))
+    sc._tracewell_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
