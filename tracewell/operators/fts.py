@@ -240,12 +240,13 @@ def bm25(index: DataFrame, doc_lengths: DataFrame, query: str, top_k: int | None
         a, b = holds(n.left), holds(n.right)
         return a & b if n.op == "and" else a | b if n.op == "or" else a & ~b
 
-    sizes = doc_lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("avg"))
-    df = per_row.agg(*[F.count_if(F.col(f"_f{k}") > 0).cast("double").alias(f"d{k}") for k in range(len(leaves))])
-    n, avg = sizes.select("n").scalar(), sizes.select("avg").scalar()
+    # One row each, taken whole, so that every use is the same subquery and runs once.
+    sizes = doc_lengths.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("avg")).alias("s")).scalar()
+    df = per_row.agg(F.struct(*[F.count_if(F.col(f"_f{k}") > 0).cast("double").alias(f"d{k}") for k in range(len(leaves))]).alias("s")).scalar()
+    n, avg = sizes.getField("n"), sizes.getField("avg")
     score = F.lit(0.0)
     for k in [leaves.index(p) for p in tree.scored()]:
-        d, f = df.select(f"d{k}").scalar(), F.col(f"_f{k}").cast("double")
+        d, f = df.getField(f"d{k}"), F.col(f"_f{k}").cast("double")
         idf = F.log((n - d + 0.5) / (d + 0.5))
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
         score = score + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("length") / avg))
