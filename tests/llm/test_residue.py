@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tests.conftest import rows
@@ -92,6 +93,38 @@ def test_a_dense_bucket_stays_connected(spark):
     assert got.count() == len(texts) and got.select("component").distinct().count() == 1
 
 
+def test_a_dense_bucket_keeps_the_classes_of_small_ones(spark):
+    rng = random.Random(6)
+    base = words(rng, 200)
+    texts = [" ".join(base)]
+    for i in range(499):
+        other = list(base)
+        for at in rng.sample(range(200), rng.randint(1, 4)):
+            other[at] = f"new{i}x{at}"
+        texts.append(" ".join(other))
+    tx = R.distinct_texts(docs(spark, *texts), "doc_id", "text")
+    judged = tx.select("rep", "text").mapInArrow(R._judge, "rep long, label int, size int, sig array<long>")
+    # Every candidate of the tables verified by itself.
+    memo: dict = {}
+    sets = [R.shingle_hashes(t, memo) for t in texts]
+    sig = np.array([R.signature(x) for x in sets])
+    bits = np.unpackbits(sig.view("u1"), axis=1, bitorder="little")[:, : R.BANDS * R.BAND_BITS].reshape(len(texts), R.BANDS, R.BAND_BITS)
+    label = list(range(1, len(texts) + 1))
+    for i in range(len(texts)):
+        meet = (bits[i + 1 :] == bits[i]).all(2).any(1) & (np.bitwise_count(sig[i + 1 :] ^ sig[i]).sum(1) <= R.MAX_HAMMING)
+        for j in np.flatnonzero(meet) + i + 1:
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= R.SIMILARITY * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    want = [(i, x) for i, x in enumerate(label, 1) if label.count(x) > 1]
+    found = list(range(len(texts) + 1))
+    for i, j in rows(R.near_duplicates(tx, judged)):
+        old, new = max(found[i], found[j]), min(found[i], found[j])
+        found = [new if x == old else x for x in found]
+    assert [(i, x) for i, x in enumerate(found) if found.count(x) > 1] == want
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "a long, b long")
     assert rows(R.components(links).groupBy("component").count()) == [(1, 60), (100, 2)]

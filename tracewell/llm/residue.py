@@ -31,8 +31,10 @@ MAX_HAMMING = 68
 BLOCK = 2048
 #: Buckets of up to so many rows are worked all at once.
 LITTLE = 48
-#: In a bucket with more links than so many a row, a minimum spanning forest of the links is kept instead of all.
+#: A bucket with more links than so many a row sends its rows, not its links, to be verified together.
 DENSE = 16
+#: Shingles that the rows of such a bucket may have; larger buckets are worked as pairs of blocks.
+WEIGHT = 4_000_000
 
 _WORDS = re.compile(r"\w+")
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], "u8")
@@ -133,31 +135,17 @@ def _banded(sigs: DataFrame) -> DataFrame:
     return sigs.where("size > 0").select("rep", "size", "sig").mapInArrow(run, "bucket long, size_class int, low int, rep long, sig array<long>")
 
 
-def _forest(dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a minimum spanning forest of a symmetric distance matrix (255: no link)."""
-    n = len(dist)
-    best, parent = dist[0].copy(), np.zeros(n, int)
-    out_a, out_b = [], []
-    left = np.ones(n, bool)
-    left[0] = False
-    best[0] = 255
-    for _ in range(n - 1):
-        at = int(np.where(left, best, 300).argmin())
-        if best[at] < 255:
-            out_a.append(parent[at])
-            out_b.append(at)
-        left[at] = False
-        nearer = left & (dist[at] < best)
-        best[nearer] = dist[at][nearer]
-        parent[nearer] = at
-    return np.array(out_a, int), np.array(out_b, int)
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each bucket; rows come sorted by (bucket, size_class, lo, hi)."""
+    """Links within each bucket; rows come sorted by (bucket, size_class, lo, hi).
+
+    A link has no ``crowd``. A dense bucket gives its rows instead: ``crowd`` names the bucket, a is the row and b its ``low``.
+    """
     held: list[tuple] = []
     done: list[tuple] = []
 
+    def add(a, b, crowd=None):
+        done.append((a, b, np.full(len(a), crowd, object)))
+
     def work(key, low, rep, sig):
         edges = np.flatnonzero(np.r_[True, np.any(key[1:] != key[:-1], axis=1), True])
         sizes = np.diff(edges)
@@ -173,7 +161,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = (dist <= MAX_HAMMING) & ((low[i] == 0) | (low[j] == 0)) & (rep[i] != rep[j])
             if near.any():
                 a, b = rep[i[near]], rep[j[near]]
-                done.append((np.minimum(a, b), np.maximum(a, b)))
+                add(np.minimum(a, b), np.maximum(a, b))
         for lo, hi, n in zip(edges[:-1], edges[1:], sizes):
             if n <= LITTLE:
                 continue
@@ -184,14 +172,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dist[(dist > MAX_HAMMING) | ((g[:, None] == 1) & (g[None, :] == 1)) | (r[:, None] == r[None, :])] = 255
             a, b = np.nonzero(np.triu(dist < 255, 1))
             if len(a) > DENSE * n:
-                a, b = _forest(dist)
-            if len(a):
-                done.append((np.minimum(r[a], r[b]), np.maximum(r[a], r[b])))
+                add(r, g.astype("i8"), " ".join(map(str, key[lo])))
+            elif len(a):
+                add(np.minimum(r[a], r[b]), np.maximum(r[a], r[b]))
 
     def emit():
-        cols = [np.concatenate(x) for x in zip(*done)]
+        a, b, crowd = (np.concatenate(x) for x in zip(*done))
         done.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(crowd, pa.string())], names=["a", "b", "crowd"])
 
     for b in batches:
         if not b.num_rows:
@@ -212,12 +200,83 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
+def _spanning(shingles: list[np.ndarray], low: np.ndarray, sig: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of the verified links between the rows of one bucket.
+
+    Every row is checked against all rows that aren't reached yet, so each class of the verified links stays whole.
+    """
+    n = len(shingles)
+    sizes = np.array([len(x) for x in shingles])
+    ends = np.cumsum(sizes)
+    values, ids = np.unique(np.concatenate(shingles), return_inverse=True)
+    rows = np.split(ids.astype("i4"), ends[:-1])
+    mark = np.zeros(len(values), "i4")
+    left = np.ones(n, bool)
+    out_a: list[int] = []
+    out_b: list[int] = []
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start] = False
+        reached = [start]
+        while reached:
+            at = reached.pop()
+            c = np.flatnonzero(left & ((low == 0) | (low[at] == 0)))
+            c = c[np.bitwise_count(sig[c] ^ sig[at]).sum(1, dtype="i2") <= MAX_HAMMING]
+            if not len(c):
+                continue
+            mark[rows[at]] = 1
+            both = np.add.reduceat(mark[np.concatenate([rows[j] for j in c])], np.r_[0, np.cumsum(sizes[c])[:-1]])
+            mark[rows[at]] = 0
+            c = c[both >= SIMILARITY * (sizes[at] + sizes[c] - both)]
+            left[c] = False
+            out_a += [at] * len(c)
+            out_b += c.tolist()
+            reached += c.tolist()
+    return out_a, out_b
+
+
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links within dense buckets; rows (crowd, low, rep, sig, text) come sorted by crowd."""
+    memo: dict[str, int] = {}
+    known: dict[int, np.ndarray] = {}
+    weight, crowd = 0, None
+    held: list[tuple] = []
+
+    def work():
+        low, rep, sig, shingles = zip(*held)
+        rep = np.array(rep, "i8")
+        a, b = _spanning(list(shingles), np.array(low), np.array(sig, "i8").view("u8"))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b]), pa.int64()), pa.array(np.maximum(rep[a], rep[b]), pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            for name, low, rep, sig, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                if held and name != crowd:
+                    yield work()
+                crowd = name
+                if rep not in known:
+                    if weight > WEIGHT:
+                        known.clear()
+                        weight = 0
+                    known[rep] = shingle_hashes(text, memo)
+                    weight += len(known[rep])
+                held.append((low, rep, sig, known[rep]))
+    if held:
+        yield work()
+
+
 def near_duplicates(texts: DataFrame, sigs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``a < b``: verified links between distinct texts (``texts(rep, text)``, ``sigs(rep, size, sig)``)."""
+    """``a < b``: verified links between distinct texts (``texts(rep, text)``, ``sigs(rep, size, sig)``).
+
+    In a dense bucket a spanning forest of the verified links stands for all of them.
+    """
     spark = texts.sparkSession
     rows = _banded(sigs)
     key = ["bucket", "size_class"]
-    hot = rows.groupBy(*key).count().where(F.col("count") > block).select(*key, F.ceil(F.col("count") / (block // 2)).cast("int").alias("nb"))
+    most = F.least(F.lit(block), F.greatest(F.lit(LITTLE), F.floor(F.lit(WEIGHT) / F.pow(F.lit(1 / SIMILARITY), F.col("size_class") + 1)).cast("int")))
+    hot = rows.groupBy(*key).count().where(F.col("count") > most).select(*key, F.ceil(F.col("count") / F.floor(most / 2)).cast("int").alias("nb"))
     laid = rows.join(hot, key, "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     laid = laid.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     # A block meets every other one; a lone block only itself. Both blocks of a pair are one group.
@@ -225,7 +284,7 @@ def near_duplicates(texts: DataFrame, sigs: DataFrame, block: int = BLOCK) -> Da
     laid = laid.withColumn("x", F.explode(others)).select(*key, F.least("mine", "x").alias("lo"), F.greatest("mine", "x").alias("hi"), "low", "rep", "sig")
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = [*key, "lo", "hi"]
-    found = cut(laid.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_meet, "a long, b long").distinct())
+    found = cut(laid.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_meet, "a long, b long, crowd string").distinct())
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
 
@@ -242,7 +301,13 @@ def near_duplicates(texts: DataFrame, sigs: DataFrame, block: int = BLOCK) -> Da
                 ok = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], names=["a", "b"])
 
-    return found.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    apart = found.where("crowd is null").drop("crowd").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    crowds = found.where("crowd is not null").select("crowd", F.col("b").cast("int").alias("low"), F.col("a").alias("rep"))
+    if crowds.isEmpty():
+        return apart
+    crowds = crowds.join(sigs.select("rep", "sig"), "rep").join(texts.select("rep", "text"), "rep").select("crowd", "low", "rep", "sig", "text")
+    together = crowds.repartition(parts, "crowd").sortWithinPartitions("crowd").mapInArrow(_crowded, "a long, b long")
+    return apart.unionByName(together).distinct()
 
 
 def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
