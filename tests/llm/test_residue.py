@@ -1,10 +1,12 @@
 import random
+import re
 
 import numpy as np
 import pytest
 
 from tests.conftest import rows
 from tracewell.llm import residue as R
+from tracewell.llm import residue_rules
 from tracewell.llm.residue_rules import verdict
 
 YES = [
@@ -34,6 +36,35 @@ def test_no_residue(text):
     assert verdict(text) < 2
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "400 Bad Request", "Your session has timed out.", "Your login has ended.", "The requested file does not exist", "Acceso denegado", "You do not have the right to view this document", "We looked everywhere.",
+        "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip.", "Excepteur sint occaecat cupidatat proident, sunt in culpa.", "zxc vbn zxc vbn", "This page cannot be dıſplayed", "İnternal server error",
+    ],
+)
+def test_rules_without_a_common_word(text):
+    assert verdict(text) == 2
+
+
+def test_the_gate_passes_whatever_a_rule_matches():
+    letters = set()
+    for rule in residue_rules._SENTENCE:
+        tree = residue_rules._parser.parse(rule.pattern, rule.flags)
+        branches = tree[0][1][1] if len(tree) == 1 and tree[0][0] is residue_rules._parser.BRANCH else [tree]
+        assert len(branches) > 5
+        for branch in branches:
+            needed = residue_rules._needed(branch)
+            assert needed and min(map(len, needed)) >= 2
+            letters.update("".join(needed))
+    alike = re.compile("[" + re.escape("".join(sorted(letters))) + "]", re.I)
+    assert {c for c in map(chr, range(0x110000)) if alike.fullmatch(c) and residue_rules._fold(c) not in letters} == set()
+    for text in YES + NO:
+        for sentence in (text or "").split("\n"):
+            bits = residue_rules._rules(sentence)
+            assert not any(rule.search(sentence) and not bits >> k & 1 for k, rule in enumerate(residue_rules._SENTENCE))
+
+
 D = "doc_id long, text string, component string, trusted string"
 
 

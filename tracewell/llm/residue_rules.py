@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from re import _parser
 
 # The syntaxes in which template engines and forms leave a value open.
 _ID = r"[A-Za-z][\w .\-]{0,60}"
@@ -171,12 +172,13 @@ def dummy_latin(sentence: str) -> bool:
 
 
 _KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+_STARTS = frozenset(["x", "xx", "xxx", *(k[i : i + 3] for k in _KEYS for i in range(len(k) - 2))])
 
 
 def mashed(sentence: str) -> bool:
     """Keys hit in a row, or x's in the place of words."""
     words = _WORD.findall(sentence.lower())
-    if len(words) < 4:
+    if len(words) < 4 or sum(w[:3] in _STARTS for w in words) < 0.8 * len(words):
         return False
     runs = sum(len(w) >= 3 and (len(set(w)) == 1 and w[0] == "x" or any(w[:3] in k and all(p in k for p in (w[-3:],)) for k in _KEYS)) or set(w) == {"x"} for w in words)
     return runs >= 0.8 * len(words)
@@ -195,30 +197,62 @@ def open_value(line: str) -> bool:
     return True
 
 
-# Every rule above needs one of these; lines without any are passed over at once.
-# Fixed values, lower case.
-_HINTS = (
-    "lorem|ipsum|dolor|amet|elit|nullam|quorum|urna|foo|bla|text|test test|asdf|qwer|zxcv|hjkl|sdfg|dfgh|xxx|content|copy|description|summary|placeholder|dummy|filler|replace|delete|remove|sentence|section|fläche|hier |aquí|ici |"
-    "script|cookie|js|client-side|browser|error|fehler|erreur|http|status|code |found|displayed|reached|gone|nothing to see|denied|forbidden|gateway|blocked|too many requests|unavailable|database connection|oops|unauthori|wrong|sorry|"
-    "ошибка|expired|permission|may not|can not|must not|access|private|firewall|maintenance|slowed|has moved|been moved|renamed|render|nobody|no one|failed|unable|seite|zugriff|accès|página|page|reset|could not|"
-    "ここに|テキスト|ダミー|此处|示例|占位|在此|здесь|текст|скрипт|страниц|доступ|ошибк|見つかりません|アクセス|エラー|お探し|页面|网页|访问|错误|脚本"
-).split("|")
+#: Characters that a rule's letters match too, case aside, and that ``lower`` doesn't turn into them.
+_FOLD = str.maketrans("ıİſᲀᲁᲂᲃᲄᲅᲆᲇ", "iisвдосттъѣ")
+
+
+def _fold(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_FOLD).lower()
+
+
+def _needed(tree) -> frozenset[str] | None:
+    """Literals of which any match of a parsed pattern holds one, in lower case; None if there are none."""
+    best: list[frozenset[str]] = []
+    run = ""
+    for op, value in [*tree, (None, None)]:
+        if op is _parser.LITERAL:
+            run += _fold(chr(value))
+            continue
+        found, repeated = None, op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0
+        if repeated and all(o is _parser.LITERAL for o, _ in value[2]):
+            run += "".join(_fold(chr(c)) for _, c in value[2])
+        elif repeated:
+            found = _needed(value[2])
+        elif op is _parser.SUBPATTERN:
+            found = _needed(value[-1])
+        elif op is _parser.BRANCH:
+            parts = [_needed(x) for x in value[1]]
+            found = None if None in parts else frozenset().union(*parts)
+        best += [x for x in (found, frozenset([run]) if run else None) if x]
+        run = ""
+    return max(best, key=lambda x: min(map(len, x)), default=None)
+
+
 _automaton = None
 
 
-def _hinted(text: str) -> bool:
+def _rules(text: str) -> int:
+    """Bits of those of _SENTENCE whose literals the text holds; the others can't match it."""
     global _automaton
     if _automaton is None:
         import ahocorasick
 
+        bits: dict[str, int] = {}
+        for k, rule in enumerate(_SENTENCE):
+            for w in _needed(_parser.parse(rule.pattern, rule.flags)):
+                bits[w] = bits.get(w, 0) | 1 << k
         a = ahocorasick.Automaton()
-        for w in _HINTS:
-            a.add_word(w, 1)
+        for w, x in bits.items():
+            a.add_word(w, x)
         a.make_automaton()
         _automaton = a
-    return next(_automaton.iter(text.lower()), None) is not None
+    found = 0
+    for _, x in _automaton.iter(_fold(text)):
+        found |= x
+    return found
 
 
+_SENTENCE = (FILLER, SCRIPTS, ERROR)
 _OPEN = re.compile(r"\{[{%\d]|<[%YIEAFPTyieafpt%]|\$[{(]|#[{A-Z]|%[(A-Z]|@@|__[A-Z]|\[[\[A-Za-z]|\(\(|«")
 
 
@@ -231,9 +265,7 @@ def verdict(text: str | None) -> int:
         line = raw.strip()
         if not line:
             continue
-        opened, hinted = _OPEN.search(line), _hinted(line)
-        if not opened and not hinted:
-            continue
+        opened = _OPEN.search(line)
         if line[0] in "{<" and ERROR.search(line):
             return 2
         if opened and open_value(line) and (_prose(raw) or re.match(r"^(?:#+ )?\S{1,70}(?: - \S{1,70})?$", line)):
@@ -241,16 +273,15 @@ def verdict(text: str | None) -> int:
         if not _prose(raw):
             suspicious = suspicious or bool(opened and PLACEHOLDER.search(line))
             continue
-        if not hinted:
-            continue
         if ERROR_HEAD.match(line) and not QUOTED.search(line):
             return 2
         for sentence in _SPLIT.split(_COMMENT.sub("", raw)):
             s = QUOTED.sub(" ", sentence).strip()
             s = re.sub(r"^(?:[-*>•]|\d+\.)\s+", "", s)
-            if not s or not _hinted(s):
+            if not s:
                 continue
-            hit = FILLER.search(s) or SCRIPTS.search(s) or ERROR.search(s) or dummy_latin(s) or mashed(s)
+            bits = _rules(s)
+            hit = any(bits >> k & 1 and rule.search(s) for k, rule in enumerate(_SENTENCE)) or dummy_latin(s) or mashed(s)
             if hit:
                 if REPORTED.search(s):
                     suspicious = True
