@@ -65,6 +65,18 @@ def test_the_gate_passes_whatever_a_rule_matches():
             assert not any(rule.search(sentence) and not bits >> k & 1 for k, rule in enumerate(residue_rules._SENTENCE))
 
 
+@pytest.mark.parametrize(
+    "code",
+    [
+        "```\nx = 1\n```", "````md\n```\nx = 1\n```\n````", "```\nx = 1\n  ```", "  ```\nx = 1\n```", "```x``` is a span", "~~~ a`b\nx = 1\n~~~~", "```\rx = 1\r```", "```\r\nx = 1\r\n``` \r\n",
+    ],
+)
+def test_residue_after_a_fence(code):
+    end = "\r" if code.endswith("\r```") else "\n"
+    assert verdict(f"Title{end}{code}{end}Access denied") == 2
+    assert verdict("```\nAccess denied\n```\nAll is well.") == verdict("````\n```\nAccess denied\n````\nAll is well.") == 0
+
+
 D = "doc_id long, text string, component string, trusted string"
 
 

@@ -150,7 +150,9 @@ CHROME = re.compile(
     re.I,
 )
 _SPLIT = re.compile(r"[\r\n]+|(?<=[.!?])\s+|(?<=[。！？])")
-_FENCE = re.compile(r"^(```|~~~).*?(?:^\1\s*$|\Z)", re.M | re.S)
+# A closing fence is at least as long as its opening one; backticks with more of them on the line are a span.
+_FENCE = re.compile(r"^ {0,3}(?:(`{3,})(?!`)[^`\n]*|(~{3,})(?!~)[^\n]*)(?:\n|\Z).*?(?:^ {0,3}(?:\1`*|\2~*)[ \t]*$|\Z)", re.M | re.S)
+_LINE_END = re.compile(r"\r\n?")
 _WORD = re.compile(r"[^\W\d_]+")
 _COMMENT = re.compile(r"^\s*(?://+|\*+|--|;+|#+(?![A-Z{]))\s?")
 _AFTER = re.compile(r"[={};<>]|\(\w*\)|\w\(|->|\+\+|&&|\|\|")
@@ -259,7 +261,7 @@ _OPEN = re.compile(r"\{[{%\d]|<[%YIEAFPTyieafpt%]|\$[{(]|#[{A-Z]|%[(A-Z]|@@|__[A
 def verdict(text: str | None) -> int:
     if not text or not text.strip():
         return 0
-    text = _FENCE.sub("\n", text)
+    text = _FENCE.sub("\n", _LINE_END.sub("\n", text))
     suspicious = False
     for raw in re.split(r"[\r\n]+", text):
         line = raw.strip()
