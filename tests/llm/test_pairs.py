@@ -76,3 +76,10 @@ def test_on_the_tables(spark):
     got = P.extract_pairs(table(spark, SF, "symbols"), table(spark, SF, "files"))
     assert 0 < got.count() < table(spark, SF, "symbols").count()
     assert got.where("trim(description) = '' or trim(code) = ''").count() == 0
+
+
+@pytest.mark.parametrize("ext", [None, ".unknown"])
+def test_a_definition_below_a_long_comment_tells_the_language(ext):
+    text = "\n".join(f"# Note {i}." for i in range(120)) + f'\ndef f():\n    """{LONG}"""\n    return 1\n'
+    assert P.guess_language(text) == "python"
+    assert "newest rows" in P.documented(text, "f", ext)[1]

@@ -356,12 +356,11 @@ def is_trivial(prose: str, name: str, min_words: int = MIN_WORDS) -> bool:
 
 def guess_language(text: str) -> str | None:
     """By the first definition, for sources whose path says nothing."""
-    best = None
-    for lang in ("python", "rust", "kotlin", "go", "ruby", "js", "java", "c"):
-        for i, s in enumerate(_lines(text)[:80]):
-            if SIGNATURE[lang].match(s) and (best is None or i < best[0]):
-                best = (i, lang)
-    return best and best[1]
+    for s in _lines(text):
+        for lang in ("python", "rust", "kotlin", "go", "ruby", "js", "java", "c"):
+            if SIGNATURE[lang].match(s):
+                return lang
+    return None
 
 
 def documented(text: str | None, name: str | None, ext: str | None) -> tuple[str, str] | None:
