@@ -59,9 +59,9 @@ def packed(spark, sizes, **kw):
 def check_packing(out, sizes, capacity):
     assert (out.groupby("container_id").n_tokens.sum() <= capacity).all()
     assert out.groupby("doc_id").n_tokens.sum().to_dict() == {i: n for i, n in enumerate(sizes) if n and n > 0}
-    for _, g in out.sort_values("place").groupby("container_id"):
+    for (_, window), g in out.sort_values("place").groupby(["container_id", "window"]):
         ends = (g.place + g.n_tokens).tolist()
-        assert g.place.tolist() == [0, *ends[:-1]]
+        assert g.place.tolist() == [window, *ends[:-1]] and ends[-1] <= window + g.tier.iloc[0]
     split = out.groupby("doc_id").size()
     for i, n in enumerate(sizes):
         if n and 0 < n <= capacity:
@@ -79,18 +79,61 @@ def test_packing_is_whole_and_tight(spark):
     assert (out.groupby("step_group").container_id.nunique() <= packing.GROUP_SIZE).all()
 
 
+def test_texts_lie_in_windows_of_their_tier(spark):
+    rng = random.Random(4)
+    sizes = [min(4000, max(1, int(rng.lognormvariate(5.2, 1.2)))) for _ in range(1500)]
+    out = packed(spark, sizes)
+    check_packing(out, sizes, 2048)
+    tiers = packing.TIERS
+    route = out.n_tokens.map(lambda n: next(t for t in tiers if n <= t))
+    assert (route <= out.tier).all() and (out.window % out.tier == 0).all()
+    assert ((out.window <= out.place) & (out.place + out.n_tokens <= out.window + out.tier)).all()
+    # A window of a tier holds a text of the tier; what shorter texts it holds only fill its gap.
+    assert (route.groupby([out.container_id, out.window]).max() == out.groupby(["container_id", "window"]).tier.first()).all()
+    assert set(out.tier) == set(tiers)
+    cost = (out.n_tokens.astype(float) ** 2).groupby(out.step_group).sum()
+    full = out.groupby("step_group").container_id.nunique() == packing.GROUP_SIZE
+    assert cost[full].max() < 1.35 * cost[full].mean()
+
+
+def test_tiers_decide_the_plan():
+    rng = random.Random(9)
+    for _ in range(20):
+        h: dict[int, int] = {}
+        for _ in range(300):
+            n = min(2048, max(1, int(rng.lognormvariate(5.5, 1.3))))
+            h[n] = h.get(n, 0) + rng.randint(1, 9)
+        plan, flat = packing.plan_containers(h), packing.plan_containers(h, tiers=(2048,))
+        assert plan.lengths != flat.lengths
+        for tier, shape in zip(plan.tiers, plan.lengths):
+            assert sum(n * m for n, m in shape.items()) <= tier and tier / 2 < max(shape) <= tier or tier == 512
+        placed: dict[int, int] = {}
+        for count, shape in zip(plan.counts, plan.lengths):
+            for n, m in shape.items():
+                placed[n] = placed.get(n, 0) + m * count
+        assert placed == h
+        assert plan.containers <= -(-sum(n * c for n, c in h.items()) // 2048) * 1.05 + 1
+
+
+def test_exact_fits_are_found_among_all_lengths():
+    # 1 of 900 partners completes 1024 exactly; it is far from the largest.
+    plan = packing.plan_containers({n: 1 for n in (600, *range(300, 420), 7, 417)} | {424: 1}, capacity=1024, tiers=(1024,))
+    assert sum(plan.lengths[0][n] * n for n in plan.lengths[0]) == 1024
+
+
 def test_packing_small_cases(spark):
     assert len(packed(spark, [])) == 0 and len(packed(spark, [None, 0])) == 0
     check_packing(packed(spark, [5] * 100, capacity=10, tiers=(5, 10)), [5] * 100, 10)
     assert packed(spark, [5] * 100, capacity=10, tiers=(5, 10)).container_id.nunique() == 50
     check_packing(packed(spark, [25], capacity=10, tiers=(10,)), [25], 10)
-    with pytest.raises(ValueError):
-        packed(spark, [1], capacity=10, tiers=(5,))
+    for bad in ((5,), (4, 10), ()):
+        with pytest.raises(ValueError):
+            packed(spark, [1], capacity=10, tiers=bad)
 
 
 def test_plan_uses_whole_repetitions():
     plan = packing.plan_containers({1024: 1_000_000, 512: 2_000_000, 2048: 7})
-    assert plan.containers == 1_000_007 and len(plan.counts) < 10
+    assert plan.containers == 1_000_007 and len(plan.counts) < 10 and sorted(zip(plan.tiers, plan.counts)) == [(512, 2_000_000), (1024, 1_000_000), (2048, 7)]
 
 
 CHUNK = "chunk_id long, doc_file_id long, chunk_index int, section_title string, content string, extra string"
