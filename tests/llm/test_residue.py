@@ -7,7 +7,13 @@ import pytest
 from tests.conftest import rows
 from tracewell.llm import residue as R
 from tracewell.llm import residue_rules
-from tracewell.llm.residue_rules import verdict
+from tracewell.llm.residue_rules import ALONE, read, trusted
+
+
+def shown(text):
+    evident, passages = read(text)
+    return evident or bool(trusted(passages))
+
 
 YES = [
     "Dear {{ name }}, your order was ready.", "The owner of this token is {%profile%}.", "Welcome to <YOUR_PROJECT>, the tool.", "Copyright [year goes here] [name goes here].", "Ask [Your team name] first.", "Contact: [object Object]", "# ${projectName}",
@@ -27,24 +33,24 @@ NO = [
 
 @pytest.mark.parametrize("text", YES)
 def test_residue(text):
-    assert verdict(text) == 2
-    assert verdict("Some title\n\nA first sentence stands here.\n\n" + text) == 2
+    assert shown(text)
+    assert shown("Some title\n\n" + text)
 
 
 @pytest.mark.parametrize("text", NO)
 def test_no_residue(text):
-    assert verdict(text) < 2
+    assert not shown(text)
 
 
 @pytest.mark.parametrize(
     "text",
     [
-        "400 Bad Request", "Your session has timed out.", "Your login has ended.", "The requested file does not exist", "Acceso denegado", "You do not have the right to view this document", "We looked everywhere.",
+        "400 Bad Request", "Your session has timed out.", "Your login has ended.", "The requested file does not exist", "Acceso denegado", "You do not have the right to view this document",
         "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip.", "Excepteur sint occaecat cupidatat proident, sunt in culpa.", "zxc vbn zxc vbn", "This page cannot be dıſplayed", "İnternal server error",
     ],
 )
 def test_rules_without_a_common_word(text):
-    assert verdict(text) == 2
+    assert shown(text)
 
 
 def test_the_gate_passes_whatever_a_rule_matches():
@@ -73,8 +79,8 @@ def test_the_gate_passes_whatever_a_rule_matches():
 )
 def test_residue_after_a_fence(code):
     end = "\r" if code.endswith("\r```") else "\n"
-    assert verdict(f"Title{end}{code}{end}Access denied") == 2
-    assert verdict("```\nAccess denied\n```\nAll is well.") == verdict("````\n```\nAccess denied\n````\nAll is well.") == 0
+    assert shown(f"Title{end}{code}{end}Access denied")
+    assert not shown("```\nAccess denied\n```\nAll is well.") and not shown("````\n```\nAccess denied\n````\nAll is well.")
 
 
 D = "doc_id long, text string, component string, trusted string"
@@ -94,15 +100,74 @@ def words(rng, n):
     return [rng.choice("abcdefghij") + str(rng.randint(0, 400)) for _ in range(n)]
 
 
-def test_labels_spread_to_suspicious_near_duplicates_only(spark):
+def prose(rng, n):
+    return " ".join(" ".join(words(rng, 9)).capitalize() + "." for _ in range(n))
+
+
+NOTICE = "This viewer was made by the team and will not run without scripting switched on in here"
+
+
+def test_labels_spread_to_near_duplicates(spark):
     rng = random.Random(3)
-    body = " ".join(words(rng, 120))
-    certain = f"{body}. Please enable JavaScript to view this page."
-    hedged = f"{body}. Please enable JavaScript to view this page, the handler said."
-    clean = f"{body}. All is well with this one page here."
-    alone = " ".join(words(rng, 120)) + ". Please enable JavaScript to view this page, the handler said."
-    assert [verdict(t) for t in (certain, hedged, clean, alone)] == [2, 1, 0, 1]
-    assert rows(R.find_residue(docs(spark, certain, hedged, clean, alone)), "doc_id", "component", "trusted") == [(1, 1, True), (2, 1, False)]
+    alone = f"Viewer\n\n{NOTICE}."
+    copy = prose(rng, 6) + f" {NOTICE}. " + prose(rng, 4)
+    # One word of 17 differs at the end, so 12 of 14 shingles are shared.
+    near = prose(rng, 6) + f" {NOTICE[:-4]}there. " + prose(rng, 4)
+    far = prose(rng, 6) + " This wiki was built by some group and does not work without scripting enabled at all today. " + prose(rng, 4)
+    quoted = prose(rng, 6) + f' The page says "{NOTICE}." ' + prose(rng, 4)
+    fenced = prose(rng, 6) + f"\n```\n{NOTICE}.\n```\n" + prose(rng, 4)
+    clean = prose(rng, 9)
+    df = docs(spark, alone, copy, near, far, quoted, fenced, clean)
+    assert rows(R.find_residue(df), "doc_id", "trusted") == [(1, True), (2, False), (3, False)]
+    # Without the passage that stands alone nothing is named: the spread decides.
+    assert R.find_residue(df.where("doc_id > 1")).count() == 0
+
+
+def test_labels_spread_along_chains(spark):
+    rng = random.Random(8)
+    base = NOTICE.split() + words(rng, 44)
+    texts = [f"{' '.join(base)}."]
+    for at in (50, 40, 30):
+        base[at] = "changed"
+        texts.append(prose(rng, 6) + f" {' '.join(base)}. " + prose(rng, 3))
+    sets = [set(R.shingle_hashes(p, {}).tolist()) for p in [texts[0], *(next(x for x in read(t)[1] if x.startswith("This viewer")) for t in texts[1:])]]
+    alike = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    assert all(alike[k][k + 1] for k in range(3)) and not alike[0][3]
+    assert rows(R.find_residue(docs(spark, *texts)), "doc_id", "trusted") == [(1, True), (2, False), (3, False), (4, False)]
+
+
+def test_preselection_loses_no_near_duplicate(spark):
+    rng = random.Random(11)
+    letters = [a + b + c for a in "abcdefgh" for b in "aeiou" for c in "klmnprst"]
+    base = [[rng.choice(letters) for _ in range(rng.randint(3, 60))] for _ in range(60)]
+    other = [[w if rng.random() > 0.01 else "new" + w for w in b] for b in base]
+    seeds = spark.createDataFrame([(" ".join(b),) for b in base], "text string")
+    packed = np.packbits(R.shingle_table(seeds), bitorder="little").tobytes()
+    asked = spark.createDataFrame([(i, " ".join(o) + ".") for i, o in enumerate(other)], "id long, text string")
+    got = {r["id"] for r in asked.mapInArrow(R._alike(packed), "id long, key long, text string").collect()}
+    sets = [[set(R.shingle_hashes(" ".join(x), {}).tolist()) for x in side] for side in (base, other)]
+    want = {i for i in range(60) if len(sets[0][i] & sets[1][i]) >= 0.8 * len(sets[0][i] | sets[1][i])}
+    assert want and want <= got
+
+
+def test_shingles_of_many_passages_at_once():
+    rng = random.Random(12)
+    texts = ["", "one", "two words", *[" ".join(words(rng, n)) for n in (3, 4, 5, 6, 7, 40)], "!", "same same same same same same same"]
+    h, sizes = R.passage_shingles(texts, {})
+    for part, t in zip(np.split(h, np.cumsum(sizes)[:-1]), texts):
+        assert np.array_equal(np.unique(part), R.shingle_hashes(t, {}))
+
+
+def test_a_text_with_other_content_is_not_trusted():
+    rng = random.Random(13)
+    assert trusted(read("Access denied")[1]) and trusted(read("Menu\n\nAccess denied\n\nSign in\n\nBack")[1])
+    evident, passages = read(prose(rng, ALONE) + "\n\nAccess denied")
+    assert not evident and "Access denied" in passages and not trusted(passages)
+
+
+def signed(spark, texts):
+    tx = spark.createDataFrame(list(enumerate(texts, 1)), "rep long, text string")
+    return tx, tx.mapInArrow(R._sign, "rep long, size int, sig array<long>")
 
 
 def test_links_against_brute_force(spark):
@@ -118,8 +183,7 @@ def test_links_against_brute_force(spark):
     memo: dict = {}
     sets = [set(R.shingle_hashes(t, memo).tolist()) for t in texts]
     want = {(i + 1, j + 1) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    tx = R.distinct_texts(docs(spark, *texts), "doc_id", "text")
-    judged = tx.select("rep", "text").mapInArrow(R._judge, "rep long, label int, size int, sig array<long>")
+    tx, judged = signed(spark, texts)
     got = set(rows(R.near_duplicates(tx, judged)))
     assert got <= want and len(got) >= 0.97 * len(want)
     split = set(rows(R.near_duplicates(tx, judged, block=8)))
@@ -130,8 +194,7 @@ def test_a_dense_bucket_stays_connected(spark):
     rng = random.Random(5)
     base = words(rng, 300)
     texts = [" ".join(base[:k] + ["x%d" % k] + base[k:]) for k in range(0, 300, 2)]
-    tx = R.distinct_texts(docs(spark, *texts), "doc_id", "text")
-    judged = tx.select("rep", "text").mapInArrow(R._judge, "rep long, label int, size int, sig array<long>")
+    tx, judged = signed(spark, texts)
     got = R.components(R.near_duplicates(tx, judged))
     assert got.count() == len(texts) and got.select("component").distinct().count() == 1
 
@@ -145,8 +208,7 @@ def test_a_dense_bucket_keeps_the_classes_of_small_ones(spark):
         for at in rng.sample(range(200), rng.randint(1, 4)):
             other[at] = f"new{i}x{at}"
         texts.append(" ".join(other))
-    tx = R.distinct_texts(docs(spark, *texts), "doc_id", "text")
-    judged = tx.select("rep", "text").mapInArrow(R._judge, "rep long, label int, size int, sig array<long>")
+    tx, judged = signed(spark, texts)
     # Every candidate of the tables verified by itself.
     memo: dict = {}
     sets = [R.shingle_hashes(t, memo) for t in texts]

@@ -1,11 +1,18 @@
-"""Template residue and error-page text, found by rules and spread over near-duplicates.
-
-Rules label the distinct texts (``residue_rules``): trusted, suspicious or clean. Near-duplicates
-are found with SimHash signatures of word shingles in partitioned tables: a signature is cut
-into bands, and texts of comparable length that agree in a band meet in one bucket. Pairs within
-the Hamming limit are verified by the Jaccard similarity of their shingles. Trusted labels then
-spread through the connected components, and a text that got its label from others is kept only
-if the rules find it at least suspicious.
+"""Template residue and error-page text, trusted where it stands alone and spread over near-duplicates.
+
+The unit is the passage: a sentence of prose. The rules (``residue_rules``) trust a passage where
+it stands in place of content; everywhere else a passage is residue because it is a near-duplicate
+of one: near-duplicates are found with SimHash signatures of word shingles in partitioned tables
+(a signature is cut into bands, and passages of comparable length that agree in a band meet in
+one bucket), verified by Hamming distance and by the Jaccard similarity of their shingles, and
+the trusted labels spread through the connected components. Reported, quoted and fenced passages
+take no label.
+
+Only components that hold a trusted passage are built. A passage can be a near-duplicate of a
+passage only if at least SIMILARITY of its own shingles occur there, so a bit table of fixed size
+over the labelled passages' shingles tells, without losing any, which passages of the corpus can
+be linked to them; the tables then hold these only. Newly labelled passages are asked about in
+turn until none comes.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ BLOCK = 2048
 LITTLE = 48
 #: A bucket with more links than so many a row sends its rows, not its links, to be verified together.
 DENSE = 16
+#: Bits of the table of shingles by which passages are preselected; a fuller table passes more and loses none.
+TABLE_BITS = 1 << 23
 #: Shingles that the rows of such a bucket may have; larger buckets are worked as pairs of blocks.
 WEIGHT = 4_000_000
 
@@ -81,28 +90,125 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(votes * 2 > len(shingles), bitorder="little").view("u8")
 
 
-def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rep, text, key``: one row per distinct text that isn't blank; rep is the smallest id."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\S")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.groupBy("text").agg(F.min("id").alias("rep"))
+def passage_shingles(passages: list[str], memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of many passages one behind the other (as ``shingle_hashes``, repeated ones kept), and how many each has."""
+    import xxhash
 
+    hashed, counts = [], np.zeros(len(passages), "i8")
+    for k, p in enumerate(passages):
+        words = _WORDS.findall(p.lower())
+        counts[k] = len(words)
+        for w in words:
+            h = memo.get(w)
+            if h is None:
+                if len(memo) > 500_000:
+                    memo.clear()
+                h = memo[w] = xxhash.xxh64_intdigest(w)
+            hashed.append(h)
+    flat = np.array([*hashed, *[0] * SHINGLE], "u8")
+    sizes = np.where(counts > 0, np.maximum(1, counts - SHINGLE + 1), 0)
+    if not sizes.sum():
+        return np.zeros(0, "u8"), sizes
+    first = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(passages)), sizes)
+    start = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    total = np.zeros(len(start), "u8")
+    with np.errstate(over="ignore"):
+        for k in range(SHINGLE):
+            there = k < counts[owner]
+            total = np.where(there, _mix(total * np.uint64(0x100000001B3) + flat[np.minimum(start + k, len(flat) - 1)]), total)
+    return total, sizes
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from .residue_rules import verdict
 
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, text) to (rep, size, sig)."""
     memo: dict[str, int] = {}
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            labels, sizes, sigs = [], [], []
-            for text in part.column(1).to_pylist():
-                labels.append(verdict(text))
-                sh = shingle_hashes(text, memo)
-                sizes.append(len(sh))
-                sigs.append(signature(sh).view("i8") if len(sh) else np.zeros(4, "i8"))
-            flat = np.concatenate(sigs)
+            sets = [shingle_hashes(t, memo) for t in part.column(1).to_pylist()]
+            flat = np.concatenate([signature(s).view("i8") if len(s) else np.zeros(4, "i8") for s in sets])
             sig = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 4), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(labels, pa.int32()), pa.array(sizes, pa.int32()), sig], names=["rep", "label", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), sig], names=["rep", "size", "sig"])
+
+
+def _key(text: str) -> int:
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
+
+
+_TRUST = "id long, key long, text string"
+
+
+def _trust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row of (id, text) that shows residue itself: its trusted passages, or a null key if it has none of its own."""
+    from .residue_rules import read, skeleton, trusted
+
+    for batch in batches:
+        ids, keys, out = [], [], []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            evident, passages = read(text)
+            found = [skeleton(p) for p in trusted(passages)]
+            if evident and not found:
+                ids.append(i)
+                keys.append(None)
+                out.append(None)
+            for p in found:
+                ids.append(i)
+                keys.append(_key(p))
+                out.append(p)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["id", "key", "text"])
+
+
+def shingle_table(passages: DataFrame) -> np.ndarray:
+    """Bits of TABLE_BITS that the shingles of ``passages(text)`` set; what the driver gets is bounded by the table's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
+        for b in batches:
+            h, _ = passage_shingles(b.column(0).to_pylist(), memo)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h % np.uint64(TABLE_BITS)).astype("i8"))], names=["bit"])
+
+    bits = passages.select("text").mapInArrow(run, "bit long")
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
+    table = np.zeros(TABLE_BITS >> 6, "i8")
+    table[words["word"].to_numpy("i8")] = words["bits"].to_numpy("i8")
+    return np.unpackbits(table.view("u1"), bitorder="little").astype(bool)
+
+
+def _alike(packed: bytes):
+    """Passages of (id, text) rows of whose shingles at least SIMILARITY are in the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .residue_rules import REPORTED, read, skeleton
+
+        table = np.unpackbits(np.frombuffer(packed, "u1"), bitorder="little").astype(bool)
+        memo: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids, passages = [], []
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for p in read(text)[1]:
+                        ids.append(i)
+                        passages.append(skeleton(p))
+                if not ids:
+                    continue
+                h, sizes = passage_shingles(passages, memo)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                # Sets are compared, so a shingle counts once in its passage.
+                order = np.lexsort((h, owner))
+                h, owner = h[order], owner[order]
+                once = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])][: len(h)]
+                own = np.bincount(owner[once], minlength=len(sizes))
+                there = np.bincount(owner[once], weights=table[(h[once] % np.uint64(TABLE_BITS)).astype("i8")], minlength=len(sizes))
+                hits = [k for k in np.flatnonzero((own > 0) & (there >= SIMILARITY * own)).tolist() if not REPORTED.search(passages[k])]
+                texts = [passages[k] for k in hits]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in hits], pa.int64()), pa.array([_key(t) for t in texts], pa.int64()), pa.array(texts, pa.string())], names=["id", "key", "text"])
+
+    return run
 
 
 def _banded(sigs: DataFrame) -> DataFrame:
@@ -331,26 +437,30 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
 
 
 def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, component long, trusted boolean``: documents with residue, one row per row of ``docs`` that has it.
-
-    ``component`` names the class of near-duplicates (the text's smallest id if it has none);
-    ``trusted`` is false if the label came from near-duplicates only.
+    """``id_col, trusted boolean``: the rows of ``docs`` with residue; ``trusted`` is false if the label came from near-duplicates only.
 
-    Defined results: null, empty and blank texts are never residue; copies count each; rows with
-    a null id are left out; texts without words take no part in the near-duplicate search; an
-    empty table gives no rows; further columns are ignored.
+    Defined results: null, empty and blank texts are never residue; copies count each, repeated
+    ids come out as often as they go in; rows with a null id are left out; passages without words take no part in the
+    near-duplicate search; an empty table gives no rows; further columns are ignored.
     """
-    texts = cut(distinct_texts(docs, id_col, text_col))
-    judged = cut(texts.select("rep", "text").mapInArrow(_judge, "rep long, label int, size int, sig array<long>"))
-    links = cut(near_duplicates(texts, judged.select("rep", "size", "sig")))
-    if links.isEmpty():
-        spread = judged.select("rep", "label", F.col("rep").alias("component"), (F.col("label") == 2).alias("tainted"))
-    else:
-        member = components(links).withColumnRenamed("node", "rep")
-        placed = judged.select("rep", "label").join(member, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        tainted = placed.where("label = 2").select("component").distinct().withColumn("tainted", F.lit(True))
-        spread = placed.join(tainted, "component", "left")
-    named = spread.where("label = 2 or (tainted and label = 1)").select("rep", "component", (F.col("label") == 2).alias("trusted"))
-    hit = texts.join(named, "rep").select(F.col("text").alias("_text"), "component", "trusted")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("_text"))
-    return rows.join(hit, "_text").select(id_col, "component", "trusted")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\S")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    shown = cut(rows.mapInArrow(_trust, _TRUST))
+    labelled = fresh = cut(shown.where("key is not null").groupBy("key").agg(F.min("text").alias("text")))
+    named = shown.select("id", F.lit(True).alias("trusted"))
+    while not fresh.isEmpty():
+        near = cut(rows.mapInArrow(_alike(np.packbits(shingle_table(fresh), bitorder="little").tobytes()), _TRUST))
+        asked = near.groupBy("key").agg(F.min("text").alias("text")).join(labelled.select("key"), "key", "left_anti")
+        items = cut(asked.withColumn("old", F.lit(False)).unionByName(fresh.withColumn("old", F.lit(True))))
+        texts = items.select(F.col("key").alias("rep"), "text")
+        links = cut(near_duplicates(texts, texts.mapInArrow(_sign, "rep long, size int, sig array<long>")))
+        reached = items.where("false").select("key", "text")
+        if not links.isEmpty():
+            member = components(links).select(F.col("node").alias("key"), "component")
+            tainted = member.join(items.where("old").select("key"), "key", "left_semi").select("component").distinct()
+            reached = member.join(tainted, "component", "left_semi").join(items.where("not old").select("key", "text"), "key").select("key", "text")
+        reached = cut(reached)
+        # Copies of a labelled passage need no link, they are the same node.
+        named = named.unionByName(near.join(fresh.select("key").unionByName(reached.select("key")), "key", "left_semi").select("id", F.lit(False).alias("trusted")))
+        labelled, fresh = labelled.unionByName(reached), reached
+    best = named.groupBy("id").agg(F.max("trusted").alias("trusted"))
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col)).join(best.withColumnRenamed("id", id_col), id_col)

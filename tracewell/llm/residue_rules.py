@@ -1,6 +1,10 @@
 """What template residue looks like in prose, and what only talks about it.
 
-``verdict`` judges one text: 2 = certain residue (a trusted label), 1 = suspicious, 0 = none.
+``read`` cuts a text into the passages of its prose (fences, code, quoted parts and reported
+speech taken out). An open value, dummy Latin, mashed keys or an error payload show themselves
+wherever they stand. Sentences of filler, error pages and script notices are only trusted where
+they stand in place of content: in a text of few distinct passages. Elsewhere the rules aren't
+asked; such a passage is named by its likeness to a trusted one.
 """
 
 from __future__ import annotations
@@ -54,13 +58,10 @@ FILLER = re.compile(
             r"\breplace this (?:paragraph|text|section|line|sentence|page|placeholder)\b",
             r"\b(?:delete|remove) this (?:line|paragraph|text|section|note)\b",
             r"^(?:[-*#>]\s*)?(?:write|add|put|describe|insert|enter) (?:a |an |your |one |two |three |here )(?:or (?:two|three) )?[\w ]{0,30}(?:sentences?|summary|description|paragraphs?|introduction|title|text)\b[^.]{0,40}(?:here|about what this|what this does)",
-            r"^section (?:intro|body|title|text)\.?$",
+            r"^(?:section|chapter|page|paragraph|heading|title|item) (?:intro|body|title|text|one|two|three|first|second)\.?$",
             r"\bblindtext\b",
-            r"\bdamit die fläche gefüllt ist\b",
             r"\bhier (?:steht|folgt|kommt) (?:später|noch|bald)\b.*\btext\b",
             r"\btext(?:e|o)? (?:provisoire|factice|de remplissage|de ejemplo|de relleno|provisional)\b",
-            r"\baquí (?:irá|va|iría)\b.*\b(?:descripción|texto|contenido)\b",
-            r"\bici (?:viendra|ira|va)\b.*\b(?:texte|description|contenu)\b",
             r"ここに.{0,12}(?:入ります|入れて|書いて|入力)|(?:ダミー|サンプル|仮の)テキスト|ダミー文",
             r"此处.{0,10}(?:填写|输入|填入|添加)|(?:示例|占位|测试)(?:文本|文字|内容)|在此(?:输入|填写|处)",
             r"здесь (?:будет|должен быть|появится).{0,30}(?:текст|описание)|(?:текст-заполнитель|рыбный текст|пример текста|текст[- ]рыба)",
@@ -93,10 +94,6 @@ ERROR = re.compile(
     "|".join(
         (
             r"^(?:error[: ]+|http(?: status)?[: ]+|status[: ]+|code[: ]+)?[1-5]\d\d(?:\s*[-–—:|]\s*|\s+)(?:not found|gone|bad gateway|forbidden|unauthori[sz]ed|internal server error|service (?:temporarily )?unavailable|gateway time-?out|too many requests|access denied|page not found|bad request|we could not serve this)\b",
-            r"^(?:error|status|code|http status|http error)[: ]+[1-5]\d\d\b[\s.!:–—-]*$",
-            r"^code [1-5]\d\d\s*[-–—:]",
-            r"^http status [1-5]\d\d\b",
-            r"^(?:error|fehler|erreur) ?(?:n° ?)?[1-5]\d\d\s*[-–—:]",
             r"\b(?:page|file|document|address|resource|url|site|link) (?:you (?:requested|asked for|are looking for|were looking for|want(?:ed)?)|requested|/\S+)? ?(?:could not|cannot|can't|can’t|was not|is not|wasn't) (?:be )?(?:found|displayed|reached|opened|available|served)\b",
             r"\b(?:requested|wanted) (?:page|file|document|address|url|resource)\b.{0,80}\b(?:not found|was not found|does not exist|could not be found)\b",
             r"\bthis (?:site|page) (?:can't|can’t|cannot|could not) be (?:reached|displayed|found|shown|loaded)\b",
@@ -105,30 +102,25 @@ ERROR = re.compile(
             r"^an? (?:unexpected |internal |unknown )?error (?:has )?occurred\b",
             r"^(?:page cannot be displayed|page not found|nothing to see here|not found|access denied|forbidden|bad gateway|request blocked|too many requests|service (?:temporarily )?unavailable|internal server error|database connection failed|oops|unauthori[sz]ed|something went wrong(?: on our side)?|gateway time-?out)\s*[.!]*$",
             r"^sorry, (?:we looked|the page|that page|this page|we could not|we couldn't|something)\b.*\b(?:gone|found|wrong|exist|unavailable)\b",
-            r"\bthat page is gone\b|\bwe looked everywhere\b",
             r"^the connection (?:was|has been) reset\b",
             r"^(?:your|the) (?:session|login) has (?:expired|ended|timed out)\b",
             r"^you (?:do not|don't|don’t) have (?:permission|access|the rights?) to (?:view|open|see|access|read)\b",
             r"^you (?:may|can|must) not (?:open|view|see|read|access) this \w+\b",
             r"^this \w+ is private or does not exist\b",
-            r"\bour firewall (?:flagged|blocked|stopped)\b",
             r"^we are (?:down|offline) for maintenance\b|^(?:the )?(?:site|service) is (?:down|offline) for maintenance\b",
-            r"^you have been (?:slowed down|blocked|rate limited)\b",
             r"^th(?:e|is) \w+ has (?:moved|been moved|been removed)\b",
-            r"^it may have been (?:renamed|moved|removed|deleted)\b",
-            r"^exception in (?:template|page) ?renderer\b|\btemplate renderer: .{0,60}\bis not defined\b",
             r"^seite nicht gefunden\b|\bdie gewünschte (?:adresse|seite|datei) (?:gibt es|existiert|wurde)\b|\bzugriff (?:verweigert|nicht erlaubt)\b",
             r"\baccès refusé\b|\bvous ne pouvez pas (?:consulter|voir|ouvrir) cette page\b|\bpage (?:introuvable|non trouvée)\b",
             r"\bla página que buscas\b|\bpágina no encontrada\b|\bacceso denegado\b",
             r"страница не найдена|доступ (?:запрещ[её]н|закрыт)|ошибка [45]\d\d",
             r"(?:ページ|ファイル)が見つかりません|アクセスが(?:拒否|禁止)|エラー ?[45]\d\d|お探しのページ",
             r"(?:页面|网页|文件)(?:不存在|未找到|找不到)|(?:拒绝访问|访问被拒绝)|错误 ?[45]\d\d|您(?:访问|查找)的页面",
-            r'^\{"(?:error|errors|status|code|message)": ?[\[{"\d].*\}$',
-            r"^<error>.*</error>$",
         )
     ),
     re.I,
 )
+#: A reply of a server in the notation of machines.
+PAYLOAD = re.compile(r'^\{"(?:error|errors|status|code|message)": ?[\[{"\d].*\}$|^<error>.*</error>$', re.I)
 #: Sentences that explain, quote, report or define such things rather than being them.
 REPORTED = re.compile(
     r"\b(?:linter|rejects?|reports?|reported|was shown|were shown|answers?|handler|means? that|means the|(?:was|were) renamed|replaces|was replaced|renderer|format string|export it|reads? .{0,40} at start|"
@@ -256,37 +248,52 @@ def _rules(text: str) -> int:
 
 _SENTENCE = (FILLER, SCRIPTS, ERROR)
 _OPEN = re.compile(r"\{[{%\d]|<[%YIEAFPTyieafpt%]|\$[{(]|#[{A-Z]|%[(A-Z]|@@|__[A-Z]|\[[\[A-Za-z]|\(\(|«")
+_BULLET = re.compile(r"^(?:[-*>•]|\d+\.)\s+")
+_TITLED = re.compile(r"^(?:#+ )?\S{1,70}(?: - \S{1,70})?$")
+_LINES = re.compile(r"[\r\n]+")
+_DIGIT = re.compile(r"\d")
 
+#: A text of up to so many distinct passages is judged by the sentence rules.
+ALONE = 4
 
-def verdict(text: str | None) -> int:
+
+def skeleton(passage: str) -> str:
+    """The passage without what varies between copies of one template: case and numbers."""
+    return _DIGIT.sub("0", passage.lower())
+
+
+def read(text: str | None) -> tuple[bool, list[str]]:
+    """Whether the text shows residue by itself, and its distinct passages of prose that report nothing, in order."""
     if not text or not text.strip():
-        return 0
-    text = _FENCE.sub("\n", _LINE_END.sub("\n", text))
-    suspicious = False
-    for raw in re.split(r"[\r\n]+", text):
+        return False, []
+    evident = False
+    passages: dict[str, None] = {}
+    for raw in _LINES.split(_FENCE.sub("\n", _LINE_END.sub("\n", text))):
         line = raw.strip()
         if not line:
             continue
-        opened = _OPEN.search(line)
-        if line[0] in "{<" and ERROR.search(line):
-            return 2
-        if opened and open_value(line) and (_prose(raw) or re.match(r"^(?:#+ )?\S{1,70}(?: - \S{1,70})?$", line)):
-            return 2
-        if not _prose(raw):
-            suspicious = suspicious or bool(opened and PLACEHOLDER.search(line))
+        if line[0] in "{<" and PAYLOAD.search(line):
+            evident = True
+        prose = _prose(raw)
+        if _OPEN.search(line) and open_value(line) and (prose or _TITLED.match(line)):
+            evident = True
+        if not prose:
             continue
-        if ERROR_HEAD.match(line) and not QUOTED.search(line):
-            return 2
         for sentence in _SPLIT.split(_COMMENT.sub("", raw)):
-            s = QUOTED.sub(" ", sentence).strip()
-            s = re.sub(r"^(?:[-*>•]|\d+\.)\s+", "", s)
-            if not s:
-                continue
-            bits = _rules(s)
-            hit = any(bits >> k & 1 and rule.search(s) for k, rule in enumerate(_SENTENCE)) or dummy_latin(s) or mashed(s)
-            if hit:
-                if REPORTED.search(s):
-                    suspicious = True
-                else:
-                    return 2
-    return int(suspicious)
+            passage = _BULLET.sub("", QUOTED.sub(" ", sentence).strip())
+            if passage and passage not in passages:
+                passages[passage] = None
+                evident = evident or dummy_latin(passage) or mashed(passage)
+    return evident, list(passages)
+
+
+def trusted(passages: list[str]) -> list[str]:
+    """Those passages of a text by which the sentence rules call it residue; none if it has other content too."""
+    if len(passages) > ALONE:
+        return []
+    found = []
+    for p in passages:
+        bits = _rules(p)
+        if ERROR_HEAD.match(p) or any(bits >> k & 1 and rule.search(p) for k, rule in enumerate(_SENTENCE)) and not REPORTED.search(p):
+            found.append(p)
+    return found
