@@ -40,7 +40,7 @@ def test_gradients_are_right():
     rng = np.random.default_rng(0)
     net = M.BiLstm(4, hidden=3)
     net.p = {k: v.astype("f8") for k, v in net.p.items()}
-    x, mask, y = rng.normal(size=(2, 3, M.INPUT)), np.array([[1, 1, 1], [1, 1, 0.0]]), rng.integers(0, 4, (2, 3))
+    x, mask, y = rng.normal(size=(2, 3, M.INPUT)) * 0.2, np.array([[1, 1, 1], [1, 1, 0.0]]), rng.integers(0, 4, (2, 3))
     weights = np.ones(4)
     _, g = net.gradients(x, mask, y, weights)
     for k in ("Wf", "Uf", "bf", "Wb", "Ub", "V", "S", "c"):
@@ -55,21 +55,57 @@ def test_gradients_are_right():
         assert g[k][at] == pytest.approx((up - down) / 2e-3, abs=2e-3), k
 
 
-def test_labeller_on_held_out_chunks():
-    d = pd.read_parquet("/root/testdata/sf0.01/doc_chunks.parquet").drop_duplicates("content").sort_values("chunk_id")
-    texts = [t for t in d.content if t]
-    net = M.train(texts[::2])
-    lists = [R.split_blocks(t) for t in texts[1::2]]
-    best = M.markup_probability(net, lists, {})
-    truth = np.array([R.has_markup(b) for b in lists])
-    top = np.array([p.max() if len(p) else 0 for p in best])
-    assert ((top >= 0.5) == truth).mean() > 0.95
-    assert (top[truth] >= M.PROPOSE).mean() > 0.99
+@pytest.fixture(scope="module")
+def halves():
+    d = pd.read_parquet("/root/testdata/sf0.1/doc_chunks.parquet").drop_duplicates("content").sort_values("chunk_id")
+    texts = [t for t in d.content if t and len(t) <= M.FIT_LENGTH]
+    return M.train(texts[::2]), texts[1::2]
+
+
+def test_labeller_on_held_out_chunks(halves):
+    net, texts = halves
+    truth = np.array([R.has_markup(R.split_blocks(t)) for t in texts])
+    got = np.array([(k >= R.NO_MARKUP).any() for k in M.classify(net, [R.split_blocks(t, label=False) for t in texts], {})])
+    assert (got & truth).sum() >= 0.99 * truth.sum() and (got & truth).sum() >= 0.99 * got.sum()
+
+
+def test_the_network_decides(spark, halves):
+    """With the same blocks and rules, another network gives another result."""
+    df = table(spark, SF, "doc_chunks")
+    found = M.label_and_clean(df, model=halves[0]).where("is_markup").count()
+    silent = M.BiLstm(len(R.KINDS))
+    silent.p["c"] = np.where(np.arange(len(R.KINDS)) == 0, 50, 0).astype("f4")
+    loud = M.BiLstm(len(R.KINDS))
+    loud.p["c"] = np.where(np.arange(len(R.KINDS)) == R.KINDS.index("inline"), 50, 0).astype("f4")
+    assert found > 0 and M.label_and_clean(df, model=silent).where("is_markup").count() == 0
+    assert M.label_and_clean(df, model=loud).where("is_markup").count() == df.where(df.content.rlike(r"[^\p{javaWhitespace}\s]")).count() > found
+
+
+def test_context_is_document_wide():
+    """The class of the first block hangs on the last one, however long the text."""
+    net = M.BiLstm(len(R.KINDS), seed=1)
+    for k in "fb":
+        net.p[f"b{k}"][M.HIDDEN : 2 * M.HIDDEN] = 12.0
+    lines = ["plain words here"] * 6000
+    seen = []
+    for last in ("plain words here", "<b>&amp;</b> ** [[x]] {{y}}"):
+        blocks = [R.Block(i, i + 1, (), t) for i, t in enumerate([*lines, last])]
+        p = np.concatenate([net.project(M.block_vectors(blocks[k : k + M.HELD], {})) for k in range(0, len(blocks), M.HELD)])
+        seen.append(net.probabilities(*M.padded([p]))[0, 0])
+    assert not np.array_equal(*seen)
+
+
+def test_training_sample_ignores_partitioning(spark):
+    df = table(spark, SF, "doc_chunks")
+    a = M.fit_labeller(df, fit_chunks=200)
+    assert M.fit_labeller(df.repartition(7), fit_chunks=200) is a
 
 
 def test_table_edges(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "  ", None), (4, "a **b** c", ""), (4, "a **b** c", ""), (None, "plain text", "x")], "chunk_id long, content string, clean string")
-    got = rows(M.label_and_clean(df), "chunk_id", "is_markup", "clean")
+    net = M.fit_labeller(table(spark, SF, "doc_chunks"))
+    assert M.label_and_clean(df).count() == 6
+    got = rows(M.label_and_clean(df, model=net), "chunk_id", "is_markup", "clean")
     assert got == sorted([(1, False, None), (2, False, ""), (3, False, "  "), (4, True, "a b c"), (4, True, "a b c"), (None, False, "plain text")], key=repr)
     assert M.label_and_clean(df.limit(0)).count() == 0
 

@@ -1,15 +1,16 @@
 """Markup residue in texts: a recurrent block labeller, and conversion to clean text.
 
 A text is cut into leaf blocks. A bidirectional LSTM written in numpy reads, for each block, a
-vector of its tag path and hashed words, so that every block is labelled with the context of
-the whole document, and proposes the blocks that carry markup. A proposal counts if an exact
-rule finds a construct in it; what counts is rendered by the kind of its blocks.
+vector of its tag path and of hashed words and signs, over the whole document, and classifies
+every block with that context. Its class decides whether a text holds markup and how each block
+is rendered; no rule comes after it.
 
-The labeller is trained here, on a bounded sample of chunks whose blocks the exact rules label.
+The labeller is trained here, on a bounded sample of chunks whose blocks exact rules label.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
 import zlib
@@ -22,54 +23,70 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Chunks on which the labeller is trained (every chunk is labelled).
-FIT_CHUNKS = 2500
+FIT_CHUNKS = 10_000
 #: Longer chunks aren't used for the training, so that the driver's share stays bounded.
 FIT_LENGTH = 20_000
-#: Longest window of blocks that the recurrence reads at once; longer texts are read in windows.
-WINDOW = 64
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 20, 8, 48, 0.01, 3
-PATH_DIM, SIGN_DIM, WORD_DIM, SHAPE_DIM = 24, 96, 40, 6
+HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 8, 48, 0.01, 3
+PATH_DIM, SIGN_DIM, WORD_DIM, SHAPE_DIM = 24, 1024, 48, 8
 INPUT = PATH_DIM + SIGN_DIM + WORD_DIM + SHAPE_DIM
-#: A block is looked at exactly from this probability of markup on.
-PROPOSE = 0.003
+#: Least steps of the training; a small sample is gone through more often.
+STEPS = 400
+#: A block is markup if its markup classes together have this probability.
+MARKUP = 0.2
+#: Blocks whose vectors are held at once.
+HELD = 4096
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
 
 
-def _slot(text: str, dim: int) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace")) % dim
+def _slot(key, dim: int) -> int:
+    return zlib.crc32(repr(key).encode("utf-8", "replace")) % dim
 
 
 def block_vectors(blocks, memo: dict) -> np.ndarray:
-    """One row per block: hashed tag path, hashed signs with their spacing, hashed words, shape."""
+    """One row per block: hashed tag path, hashed signs with what stands around them, hashed words, shape."""
     out = np.zeros((len(blocks), INPUT), "f4")
+
+    def at(key, start: int, dim: int) -> int:
+        slot = memo.get(key)
+        if slot is None:
+            slot = memo[key] = start + _slot(key, dim)
+        return slot
+
     for row, b in zip(out, blocks):
         for depth, tag in enumerate(b.path):
-            row[_slot(f"{tag}", PATH_DIM)] += 1.0
-            row[_slot(f"{depth}:{tag}", PATH_DIM)] += 0.5
+            row[_slot(tag, PATH_DIM)] += 1.0
+            row[_slot((depth, tag), PATH_DIM)] += 0.5
         text, n = b.text, len(b.text)
-        words = 0
+        words = signs = between = 0
+        last, after_sign, line_start = "^", True, True
         for m in _TOKEN.finditer(text):
             t = m[0]
             c = t[0]
+            if c == "\n":
+                line_start = True
+                continue
+            a, z = m.span()
             if c.isalnum():
                 words += 1
-                key = (1, t[:8])
-                slot = memo.get(key)
-                if slot is None:
-                    slot = memo[key] = PATH_DIM + SIGN_DIM + _slot(("0" if c.isdigit() else t.lower()[:8]), WORD_DIM)
+                between += 1
+                word = "0" if c.isdigit() else t.lower()[:9]
+                row[at((1, word), PATH_DIM + SIGN_DIM, WORD_DIM)] += 1.0
+                if after_sign and a and not text[a - 1].isspace():
+                    row[at((2, last[-3:], word), PATH_DIM, SIGN_DIM)] += 1.0
+                after_sign = False
             else:
-                a, z = m.span()
-                key = (a == 0 or text[a - 1] in " \n\t", t[:4], z >= n or text[z] in " \n\t")
-                slot = memo.get(key)
-                if slot is None:
-                    slot = memo[key] = PATH_DIM + _slot(repr(key), SIGN_DIM)
-            row[slot] += 1.0
-        if len(memo) > 200_000:
+                signs += 1
+                spaced = (a == 0 or text[a - 1].isspace(), z >= n or text[z].isspace())
+                row[at((3, t[:5], line_start, *spaced), PATH_DIM, SIGN_DIM)] += 1.0
+                row[at((4, last[:4], min(between, 3), t[:4], *spaced), PATH_DIM, SIGN_DIM)] += 1.0
+                last, between, after_sign = t, 0, True
+            line_start = False
+        if len(memo) > 300_000:
             memo.clear()
         row[PATH_DIM : PATH_DIM + SIGN_DIM] = np.log1p(row[PATH_DIM : PATH_DIM + SIGN_DIM])
         row[PATH_DIM + SIGN_DIM : PATH_DIM + SIGN_DIM + WORD_DIM] /= max(1, words) / 4
-        row[-SHAPE_DIM:] = (np.log1p(n) / 8, np.log1p(words) / 6, text.count("\n") > 0, len(blocks) == 1, text[:1].isspace(), words == 0)
+        row[-SHAPE_DIM:] = (np.log1p(n) / 8, np.log1p(words) / 6, text.count("\n") > 0, len(blocks) == 1, text[:1].isspace(), words == 0, signs == 0, np.log1p(signs) / 5)
     return out
 
 
@@ -92,10 +109,13 @@ class BiLstm:
     def _sigmoid(x):
         return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
-    def _run(self, x, mask, d):
-        n, t, _ = x.shape
+    def project(self, x):
+        """What the recurrence and the classifier take from the blocks' own vectors."""
+        return np.concatenate([x @ self.p["Wf"] + self.p["bf"], x @ self.p["Wb"] + self.p["bb"], x @ self.p["S"] + self.p["c"]], -1)
+
+    def _run(self, z_in, mask, d, keep=True):
+        n, t, _ = z_in.shape
         h, c = np.zeros((n, self.h), "f4"), np.zeros((n, self.h), "f4")
-        z_in = x @ self.p[f"W{d}"] + self.p[f"b{d}"]
         outs, kept = np.zeros((n, t, self.h), "f4"), []
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             z = z_in[:, k] + h @ self.p[f"U{d}"]
@@ -105,24 +125,26 @@ class BiLstm:
             c2 = m * (f * c + i * g) + (1 - m) * c
             th = np.tanh(c2)
             h2 = m * (o * th) + (1 - m) * h
-            kept.append((k, i, f, o, g, c, h, th, m))
+            if keep:
+                kept.append((k, i, f, o, g, c, h, th, m))
             h, c = h2, c2
             outs[:, k] = h
         return outs, kept
 
-    def logits(self, x, mask):
-        f, kf = self._run(x, mask, "f")
-        b, kb = self._run(x, mask, "b")
+    def logits(self, projected, mask, keep=True):
+        w = 4 * self.h
+        f, kf = self._run(projected[..., :w], mask, "f", keep)
+        b, kb = self._run(projected[..., w : 2 * w], mask, "b", keep)
         both = np.concatenate([f, b], 2)
-        return both @ self.p["V"] + x @ self.p["S"] + self.p["c"], (both, kf, kb)
+        return both @ self.p["V"] + projected[..., 2 * w :], (both, kf, kb)
 
-    def probabilities(self, x, mask):
-        z, _ = self.logits(x, mask)
+    def probabilities(self, projected, mask):
+        z, _ = self.logits(projected, mask, keep=False)
         z = np.exp(z - z.max(2, keepdims=True))
         return z / z.sum(2, keepdims=True)
 
     def gradients(self, x, mask, y, weights):
-        z, (both, kf, kb) = self.logits(x, mask)
+        z, (both, kf, kb) = self.logits(self.project(x), mask)
         e = np.exp(z - z.max(2, keepdims=True))
         prob = e / e.sum(2, keepdims=True)
         w = weights[y] * mask
@@ -158,6 +180,7 @@ class BiLstm:
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         order, step = sorted(range(len(sequences)), key=lambda i: len(sequences[i])), 0
         batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
+        epochs = max(epochs, -(-STEPS // len(batches)))
         for epoch in range(epochs):
             rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
             for b in rng.permutation(len(batches)):
@@ -175,7 +198,7 @@ class BiLstm:
 
 def padded(sequences, labels=None):
     t = max(len(s) for s in sequences)
-    x, mask = np.zeros((len(sequences), t, INPUT), "f4"), np.zeros((len(sequences), t), "f4")
+    x, mask = np.zeros((len(sequences), t, sequences[0].shape[1]), "f4"), np.zeros((len(sequences), t), "f4")
     y = np.zeros((len(sequences), t), int)
     for k, s in enumerate(sequences):
         x[k, : len(s)], mask[k, : len(s)] = s, 1
@@ -184,10 +207,6 @@ def padded(sequences, labels=None):
     return (x, mask, y) if labels is not None else (x, mask)
 
 
-def _windows(v: np.ndarray) -> list[np.ndarray]:
-    return [v[i : i + WINDOW] for i in range(0, len(v), WINDOW)]
-
-
 def train(texts: list[str], seed: int = SEED) -> BiLstm:
     """A labeller for the block kinds, from texts whose blocks the exact rules label."""
     from .markup_rules import KINDS, split_blocks
@@ -196,77 +215,89 @@ def train(texts: list[str], seed: int = SEED) -> BiLstm:
     for text in texts:
         blocks = split_blocks(text)
         if blocks:
-            kinds = np.array([b.kind for b in blocks])
-            for k, v in enumerate(_windows(block_vectors(blocks, memo))):
-                sequences.append(v)
-                labels.append(kinds[k * WINDOW : (k + 1) * WINDOW])
+            sequences.append(block_vectors(blocks, memo))
+            labels.append(np.array([b.kind for b in blocks]))
     model = BiLstm(len(KINDS), seed=seed)
     return model.fit(sequences, labels, seed=seed) if sequences else model
 
 
-def markup_probability(model: BiLstm, block_lists, memo: dict) -> list[np.ndarray]:
-    """Of each text the probability of markup of each block."""
+def classify(model: BiLstm, block_lists, memo: dict) -> list[np.ndarray]:
+    """Of each text the kind of each block, by the labeller over the whole sequence of its blocks."""
     from .markup_rules import NO_MARKUP
 
-    pieces, owner = [], []
-    for i, blocks in enumerate(block_lists):
-        for v in _windows(block_vectors(blocks, memo)) if blocks else ():
-            pieces.append(v)
-            owner.append(i)
-    out: list[list] = [[] for _ in block_lists]
-    result = [None] * len(pieces)
-    order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-    for at in range(0, len(order), 256):
-        part = order[at : at + 256]
-        x, mask = padded([pieces[i] for i in part])
-        p = model.probabilities(x, mask)[..., NO_MARKUP:].sum(2)
+    out = [np.zeros(0, int)] * len(block_lists)
+    # Only the projections of a long text are held, so its vectors are made in stretches.
+    projected = [np.concatenate([model.project(block_vectors(b[k : k + HELD], memo)) for k in range(0, len(b), HELD)]) if b else None for b in block_lists]
+    order = sorted((i for i, p in enumerate(projected) if p is not None), key=lambda i: len(projected[i]))
+    at = 0
+    while at < len(order):
+        size = max(1, min(256, 4 * HELD // len(projected[order[min(at + 255, len(order) - 1)]])))
+        part = order[at : at + size]
+        at += size
+        p = model.probabilities(*padded([projected[i] for i in part]))
+        markup = p[..., NO_MARKUP:].sum(2) >= MARKUP
+        kinds = np.where(markup, NO_MARKUP + p[..., NO_MARKUP:].argmax(2), p[..., :NO_MARKUP].argmax(2))
         for k, i in enumerate(part):
-            result[i] = p[k, : len(pieces[i])]
-    for i, p in zip(owner, result):
-        out[i].append(p)
-    return [np.concatenate(o) if o else np.zeros(0) for o in out]
+            out[i] = kinds[k, : len(projected[i])]
+    return out
+
+
+#: Labellers trained in this process, by their sample.
+_trained: dict[tuple, BiLstm] = {}
 
 
 def fit_labeller(chunks: DataFrame, text_col: str = "content", fit_chunks: int = FIT_CHUNKS) -> BiLstm:
-    """Trained on the ``fit_chunks`` texts with the smallest hashes: bounded and independent of partitioning."""
-    sample = chunks.where(F.length(text_col).between(1, FIT_LENGTH)).select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).dropDuplicates(["h"])
-    return train([r["t"] for r in sample.orderBy("h").limit(fit_chunks).collect()])
+    """Trained on the ``fit_chunks`` texts with the smallest hashes: bounded and independent of partitioning.
+
+    Only hashes are shuffled to choose the sample; the texts are fetched after. The same sample
+    is trained on once.
+    """
+    hashed = chunks.where(F.length(text_col).between(1, FIT_LENGTH)).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(fit_chunks).collect()]
+    key = (hashlib.sha256(np.array(chosen, "i8").tobytes()).hexdigest(), fit_chunks)
+    if key not in _trained:
+        texts = {r["h"]: r["t"] for r in hashed.where(F.col("h") <= chosen[-1]).groupBy("h").agg(F.min("t").alias("t")).collect()} if chosen else {}
+        if len(_trained) > 8:
+            _trained.clear()
+        _trained[key] = train([texts[h] for h in chosen])
+    return _trained[key]
 
 
-def label_and_clean(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", fit_chunks: int = FIT_CHUNKS, with_text: bool = True) -> DataFrame:
-    """``id_col, is_markup boolean, kinds array<string>`` and, if wanted, ``clean string``.
+def label_and_clean(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", fit_chunks: int = FIT_CHUNKS, model: BiLstm | None = None) -> DataFrame:
+    """``id_col, is_markup boolean, kinds array<string>, clean string``.
 
     ``kinds`` are the kinds of blocks with markup, sorted; ``clean`` is the text with headings,
     lists, code blocks, tables and formulas kept in one plain notation, and the content itself
-    where there is no markup.
+    where there is no markup. ``model`` is a labeller trained before; else one is trained on
+    these chunks.
 
     Defined results: null text is no markup and stays null, empty and blank texts stay as they
     are; repeated rows and null ids come out as often as they go in; an empty table gives no
-    rows; further columns are ignored. No shuffle but for the training sample.
+    rows; further columns are ignored. No shuffle but for the hashes of the training sample.
     """
-    model = pickle.dumps(fit_labeller(chunks, text_col, fit_chunks).p)
-    fields = [T.StructField(id_col, chunks.schema[id_col].dataType), T.StructField("is_markup", T.BooleanType()), T.StructField("kinds", T.ArrayType(T.StringType()))]
-    schema = T.StructType(fields + [T.StructField("clean", T.StringType())] * with_text)
+    weights = pickle.dumps((model or fit_labeller(chunks, text_col, fit_chunks)).p)
+    fields = [T.StructField(id_col, chunks.schema[id_col].dataType), T.StructField("is_markup", T.BooleanType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("clean", T.StringType())]
+    schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .markup_rules import KINDS, NO_MARKUP, clean, split_blocks
 
         net = BiLstm(len(KINDS))
-        net.p = pickle.loads(model)
+        net.p = pickle.loads(weights)
         memo: dict = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
-                lists = [split_blocks(t) if t and not t.isspace() else [] for t in texts]
+                lists = [split_blocks(t, label=False) if t and not t.isspace() else [] for t in texts]
                 found, kinds, out = [], [], []
-                for text, blocks, p in zip(texts, lists, markup_probability(net, lists, memo)):
-                    hit = sorted({KINDS[b.kind] for b, q in zip(blocks, p) if q >= PROPOSE and b.kind >= NO_MARKUP})
+                for text, blocks, labels in zip(texts, lists, classify(net, lists, memo)):
+                    for b, kind in zip(blocks, labels.tolist()):
+                        b.kind = kind
+                    hit = sorted({KINDS[b.kind] for b in blocks if b.kind >= NO_MARKUP})
                     found.append(bool(hit))
                     kinds.append(hit)
-                    if with_text:
-                        out.append(clean(blocks) if hit else text)
-                cols = [part.column(0), pa.array(found), pa.array(kinds, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(out, pa.string())] * with_text, names=schema.names)
+                    out.append(clean(blocks) if hit else text)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.bool_()), pa.array(kinds, pa.list_(pa.string())), pa.array(out, pa.string())], names=schema.names)
 
     return chunks.select(id_col, text_col).mapInArrow(run, schema)

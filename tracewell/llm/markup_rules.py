@@ -2,8 +2,8 @@
 
 ``split_blocks`` cuts a text into leaf blocks (a heading, a list item, a run of prose lines, a
 line inside a fence or element ...), each with its tag path: the stack of what is open around
-it. ``construct`` says exactly whether a block holds something a renderer would format, and of
-what kind the block is.
+it. With ``label`` it also says exactly of what kind each block is, and so whether it holds
+something a renderer would format; that labels the labeller's training sample and nothing else.
 """
 
 from __future__ import annotations
@@ -143,8 +143,8 @@ def inline_construct(text: str) -> bool:
     return False
 
 
-def split_blocks(text: str) -> list[Block]:
-    """Leaf blocks in order, with path and exact kind."""
+def split_blocks(text: str, label: bool = True) -> list[Block]:
+    """Leaf blocks in order, with path and, if wanted, exact kind (else the kind is that of the cut and says nothing of what stands inside)."""
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     bare = bare_code_lines(lines)
     blocks: list[Block] = []
@@ -263,7 +263,7 @@ def split_blocks(text: str) -> list[Block]:
             while j < n and lines[j].strip() and not bare[j] and not (HEADING.match(lines[j]) or FENCE.match(lines[j]) or BULLET.match(lines[j]) or QUOTE.match(lines[j]) or PIPE_ROW.match(lines[j]) or ENV.match(lines[j]) or lines[j].lstrip().startswith("<") and TAG.match(lines[j].lstrip()) or lines[j].strip().startswith(("{|", "\\item", "<!--")) or WIKI_HEADING.match(lines[j].strip()) or TEX_HEADING.match(lines[j]) or (j + 1 < n and SETEXT.match(lines[j + 1]) and not lines[j - 1].strip())):
                 j += 1
             body = "\n".join(lines[i:j])
-            kind = "formula" if re.fullmatch(r"\s*(?:\\\[.*\\\]|\$\$.*\$\$)\s*", body, re.S) else "inline" if inline_construct(body) or WIKI_OTHER.search(body) and not re.search(r"^:\w+:", body) and re.match(r"^[:;#_]", body) else "prose"
+            kind = "prose" if not label else "formula" if re.fullmatch(r"\s*(?:\\\[.*\\\]|\$\$.*\$\$)\s*", body, re.S) else "inline" if inline_construct(body) or WIKI_OTHER.search(body) and not re.search(r"^:\w+:", body) and re.match(r"^[:;#_]", body) else "prose"
             add(i, j, kind)
             i = j
             continue

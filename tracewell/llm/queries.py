@@ -22,7 +22,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.label_and_clean(table(spark, d, "doc_chunks"), with_text=False).where("is_markup").select("chunk_id")
+    return markup.label_and_clean(table(spark, d, "doc_chunks")).where("is_markup").select("chunk_id")
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
