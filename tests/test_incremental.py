@@ -1,13 +1,16 @@
+import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tracewell.operators.incremental import IncrementalJob, canonical_path, changed_records, replay
+from tracewell.operators.incremental import CommitLog, IncrementalJob, canonical_path, changed_records, replay
 
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
 AT = [T0 + timedelta(hours=h) for h in range(12)]
-SCAN = "scan_id long, path string, last_modified double, file_hash string, seen_at timestamp, seq string"
+SCAN = "scan_id long, path string, last_modified double, file_hash string, seen_at timestamp, run string"
 
 
 def scans(spark, *r):
@@ -73,30 +76,97 @@ def test_failed_runs_commit_nothing(spark):
     assert rows(replay(s, known(spark), runs), "run_id", "path") == [(1, "a"), (4, "b"), (4, "c")]
 
 
+def sourced(df, seq):
+    return df.withColumn("ingest_seq", F.lit(seq).cast("long"))
+
+
 def test_job_survives_a_failure_exactly_once(spark, tmp_path):
     job = IncrementalJob(spark, str(tmp_path))
     base = known(spark, ("a", "h0"))
-    s = scans(spark, (1, "a", 0.0, "h1", AT[1]), (2, "b", 0.0, "b1", AT[1]))
+    s = sourced(scans(spark, (1, "a", 0.0, "h1", AT[1]), (2, "b", 0.0, "b1", AT[1])), 1)
     assert job.run(s, base, AT[2]) == 1
 
     def breaks(df):
         df.write.format("noop").mode("overwrite").save()
         raise RuntimeError("lost")
 
-    more = s.unionByName(scans(spark, (3, "a", 0.0, "h2", AT[3]), (4, "c", 0.0, "c1", AT[3]), (5, "late", 0.0, "l", AT[9])))
+    more = s.unionByName(sourced(scans(spark, (3, "a", 0.0, "h2", AT[3]), (4, "c", 0.0, "c1", AT[3]), (5, "early", 0.0, "l", AT[9])), 2))
     with pytest.raises(RuntimeError):
         job.run(more, base, AT[4], breaks)
-    assert job.watermark()[0] == 1
+    assert job.watermark()[:2] == (1, 1)
     assert job.run(more, base, AT[4]) == 2
     assert rows(job.output(), "_seq", "path", "file_hash") == [(1, "a", "h1"), (1, "b", "b1"), (2, "a", "h2"), (2, "c", "c1")]
     assert job.run(more, base, AT[5]) == 3
     assert job.output().where("_seq = 3").count() == 0
+    # The row seen beyond the bounds waited, though its number lies behind the watermark.
+    assert job.run(more, base, AT[10]) == 4
+    assert rows(job.output().where("_seq = 4"), "path", "file_hash") == [("early", "l")]
     with pytest.raises(ValueError):
         job.run(more, base, AT[1])
 
 
+def test_late_rows_are_processed_once(spark, tmp_path):
+    job = IncrementalJob(spark, str(tmp_path), compact_every=2)
+    base = known(spark, ("a", "h0"))
+    s = sourced(scans(spark, (1, "a", 0.0, "h5", AT[5]), (2, "b", 0.0, "b1", AT[5])), 1)
+    job.run(s, base, AT[6])
+    # Arriving after the commit: a new path seen before it, an old state of a path known better, and the state before that.
+    s = s.unionByName(sourced(scans(spark, (3, "late", 0.0, "l", AT[2]), (4, "a", 0.0, "h2", AT[2]), (5, "b", 0.0, "b2", AT[6])), 2))
+    job.run(s, base, AT[7])
+    assert rows(job.output().where("_seq = 2"), "path", "file_hash", "previous_hash") == [("b", "b2", "b1"), ("late", "l", None)]
+    for k in (8, 9, 10):
+        job.run(s, base, AT[k])
+    assert job.output().where("_seq > 2").count() == 0
+    assert len(job.log.last()["chain"]) <= 2
+    assert rows(job.known(base), "path", "file_hash") == [("a", "h5"), ("b", "b2"), ("late", "l")]
+
+
+def test_rows_that_arrive_while_a_run_works_belong_to_the_next(spark, tmp_path):
+    where = str(tmp_path / "scans")
+    sourced(scans(spark, (1, "a", 0.0, "x", AT[1])), 1).write.parquet(where)
+    job = IncrementalJob(spark, str(tmp_path / "job"))
+
+    def slow(df):
+        sourced(scans(spark, (2, "b", 0.0, "y", AT[1])), 2).write.mode("append").parquet(where)
+        return df
+
+    job.run(spark.read.parquet(where), known(spark), AT[2], slow)
+    assert rows(job.output(), "path") == [("a",)] and job.watermark()[1] == 1
+    job.run(spark.read.parquet(where), known(spark), AT[2], lambda df: df)
+    assert rows(job.output(), "_seq", "path") == [(1, "a"), (2, "b")]
+
+
+def test_run_by_run_equals_catching_up(spark, tmp_path):
+    rng = random.Random(2)
+    rows_in = [(i, f"p{rng.randint(0, 6)}", 0.0, rng.choice(["x", "y", "Z", None]), T0 + timedelta(minutes=rng.randint(0, 600))) for i in range(120)]
+    s = sourced(scans(spark, *rows_in), 1)
+    base = known(spark, ("p0", "x"), ("p1", "z"))
+    bounds = [T0 + timedelta(minutes=m) for m in (50, 200, 210, 599)]
+    job = IncrementalJob(spark, str(tmp_path / "single"))
+    for b in bounds:
+        job.run(s, base, b)
+    single = rows(job.output(), "_seq", "path", "file_hash", "previous_hash")
+    assert single == rows(changed_records(s, base, bounds), "run", "path", "file_hash", "previous_hash")
+    runs = spark.createDataFrame([(k, b, "ok") for k, b in enumerate(bounds, 1)], "run_id int, started_at timestamp, status string")
+    assert single == rows(replay(s, base, runs, str(tmp_path / "replay")), "run_id", "path", "file_hash", "previous_hash")
+
+
 def test_a_commit_number_is_taken_once(spark, tmp_path):
     job = IncrementalJob(spark, str(tmp_path))
-    job.log.commit({"seq": 1, "upper": AT[0].isoformat(), "data": None})
+    with ThreadPoolExecutor(8) as pool:
+        tries = [pool.submit(CommitLog(spark, str(tmp_path)).commit, {"seq": 1, "by": k}) for k in range(16)]
+    won = [k for k, t in enumerate(tries) if t.exception() is None]
+    assert len(won) == 1 and job.log.entries() == [{"seq": 1, "by": won[0]}] and job.log.has(1) and not job.log.has(2)
+    assert all(isinstance(t.exception(), RuntimeError) for k, t in enumerate(tries) if k not in won)
+
+
+def test_a_crash_before_the_commit_leaves_no_trace(spark, tmp_path, monkeypatch):
+    s, base = sourced(scans(spark, (1, "a", 0.0, "x", AT[1])), 1), known(spark)
+    job = IncrementalJob(spark, str(tmp_path))
+    monkeypatch.setattr(job.log, "commit", lambda entry: (_ for _ in ()).throw(RuntimeError("killed")))
     with pytest.raises(RuntimeError):
-        job.log.commit({"seq": 1, "upper": AT[0].isoformat(), "data": None})
+        job.run(s, base, AT[2])
+    again = IncrementalJob(spark, str(tmp_path))
+    assert again.watermark() == (0, 0, None) and again.output().count() == 0
+    assert again.run(s, base, AT[2]) == 1
+    assert rows(again.output(), "path") == [("a",)]

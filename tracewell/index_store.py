@@ -50,8 +50,8 @@ class IndexStore:
 
     def current(self) -> dict | None:
         """The last commit, unless it was made with another embedding model: then the index counts as empty."""
-        last = self.log.entries()[-1:]
-        return last[0] if last and last[0]["model"] == self.model else None
+        last = self.log.last()
+        return last if last and last["model"] == self.model else None
 
     def table(self, name: str) -> DataFrame:
         entry = self.current()
@@ -60,8 +60,8 @@ class IndexStore:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{entry['data']}/{name}.parquet")
 
     def _publish(self, tables: dict[str, DataFrame]) -> int:
-        last = self.log.entries()[-1:]
-        seq = last[0]["seq"] + 1 if last else 1
+        last = self.log.last()
+        seq = last["seq"] + 1 if last else 1
         folder = f"{self.root}/snapshots/{seq:012d}-{uuid.uuid4().hex}"
         for name, df in tables.items():
             out = df.select(*[c.split(" ")[0] for c in SCHEMAS[name].split(", ")])

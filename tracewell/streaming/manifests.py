@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import merge
-from ..operators.incremental import CommitLog
+from ..operators.incremental import COMPACT_EVERY, CommitLog
 
 SCHEMA = "path string, last_modified double, file_hash string, status string, scanned_at timestamp, scan_id long"
 
@@ -24,26 +24,41 @@ def write_manifest(scan: DataFrame, stored: DataFrame, folder: str, scan_id: int
     rows.select("path", "last_modified", "file_hash", "status", F.current_timestamp().alias("scanned_at"), F.lit(scan_id).cast("long").alias("scan_id")).write.mode("append").parquet(folder)
 
 
+_VERSION = "path string, last_modified double, file_hash string, status string, version long"
+
+
 class ManifestSink:
-    """Merges manifests into versions of a ``path, last_modified, file_hash`` table; the version of a batch is published by one commit."""
+    """Merges manifests into versions of a ``path, last_modified, file_hash`` table; the version of a batch is published by one commit.
+
+    A batch adds the newest row of each of its paths, a gone path as a tombstone; every
+    ``compact_every`` batches the chain of additions is written anew.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.log = spark, root.rstrip("/"), CommitLog(spark, root)
+    def __init__(self, spark: SparkSession, root: str, compact_every: int = COMPACT_EVERY):
+        self.spark, self.root, self.log, self.compact_every = spark, root.rstrip("/"), CommitLog(spark, root), compact_every
+
+    def _newest(self, chain: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(_VERSION).parquet(*chain) if chain else self.spark.createDataFrame([], _VERSION)
+        return merge.latest(rows, "path", ("version",)).where("status <> 'gone'").select("path", "last_modified", "file_hash")
 
     def table(self) -> DataFrame:
-        last = self.log.entries()[-1:]
-        return self.spark.read.parquet(last[0]["data"]) if last else self.spark.createDataFrame([], "path string, last_modified double, file_hash string")
+        last = self.log.last()
+        return self._newest(last["chain"] if last else [])
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         seq = batch_id + 1
-        if any(e["seq"] == seq for e in self.log.entries()):
+        if self.log.has(seq):
             return
-        newest = merge.latest(batch, "path", ("scanned_at", "scan_id"))
-        kept = merge.delete_by(self.table(), newest, ["path"])
-        after = kept.unionByName(newest.where("status <> 'gone'").select("path", "last_modified", "file_hash"))
+        last = self.log.last()
         folder = f"{self.root}/versions/{seq:012d}"
-        after.write.mode("overwrite").parquet(folder)
-        self.log.commit({"seq": seq, "data": folder})
+        newest = merge.latest(batch, "path", ("scanned_at", "scan_id"))
+        newest.select("path", "last_modified", "file_hash", "status", F.lit(seq).cast("long").alias("version")).write.mode("overwrite").parquet(folder)
+        chain = [*(last["chain"] if last else []), folder]
+        if len(chain) > self.compact_every:
+            whole = f"{self.root}/snapshots/{seq:012d}"
+            self._newest(chain).select("*", F.lit("same").alias("status"), F.lit(seq).cast("long").alias("version")).write.mode("overwrite").parquet(whole)
+            chain = [whole]
+        self.log.commit({"seq": seq, "chain": chain})
 
 
 def run_available(spark: SparkSession, manifests: str, sink: ManifestSink, checkpoint: str) -> StreamingQuery:
