@@ -102,7 +102,7 @@ def test_rows_with_few_candidates_meet_all(spark):
     x = np.random.default_rng(1).normal(size=(60, 64)).astype("f4")
     ids = np.arange(60)
     got: dict = {}
-    for r in mih.neighbours(vectors(spark, ids, x), substrings=2, radius=1).collect():
+    for r in mih.neighbours(vectors(spark, ids, x), spans=[(0, 0, 32), (0, 32, 32)]).collect():
         got.setdefault(r["id"], set()).add(r["other"])
     assert got == brute(ids, x, 5)
 
@@ -118,6 +118,27 @@ def test_vector_edges(spark):
     assert mih.neighbours(df.limit(0)).count() == 0 and mih.neighbours(df.where("symbol_id = 1")).count() == 0
 
 
+def test_layout_follows_the_rows():
+    for rows, tables, width in ((100, 16, 4), (7_600, 6, 10), (77_000, 5, 12), (770_000, 8, 16), (10**9, 29, 27)):
+        spans = mih.layout(rows)
+        assert tables - 2 <= len(spans) <= tables + 3 and abs(min(w for _, _, w in spans) - width) <= 5
+        assert all(rows / 2**w < 200 for _, _, w in spans)
+        for r in {r for r, _, _ in spans}:
+            own = [(a, w) for q, a, w in spans if q == r]
+            assert sum(w for _, w in own) == 64 and all(a + w == b for (a, w), (b, _) in zip(own, own[1:]))
+
+
+def test_rows_far_from_all_others_probe_further(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([clustered(400), rng.normal(size=(5, 64)).astype("f4") * 9])
+    ids = np.arange(len(x))
+    got: dict = {}
+    for r in mih.neighbours(vectors(spark, ids, x), spans=[(0, a, 16) for a in range(0, 64, 16)]).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    want = brute(ids, x, 5)
+    assert all(len(got[i]) == 5 for i in want)
+
+
 def test_pigeonhole():
     assert mih.cuts(64, 5) == [(0, 13), (13, 13), (26, 12), (38, 13), (51, 13)]
     assert sum(w for _, w in mih.cuts(64, 7)) == 64

@@ -7,8 +7,11 @@ least one substring, so probing the m buckets of a code retrieves every code wit
 radius. What a bucket brings is reranked by the cosine of the floats inside the bucket's own
 task, and only the best k of each row leave it: no pair list of a bucket is ever written.
 
-A hot bucket is cut into blocks and its block pairs are worked by different tasks. Rows whose
-buckets bring fewer than k others are compared with all rows in blocks, so none is lost.
+Substrings are as wide as keeps a bucket at a few rows whatever the number of rows; wider ones
+agree less often, so their number grows slowly with the rows, over further rotations where one
+code has no bits left. A hot bucket is cut into blocks and its block pairs are worked by
+different tasks. Rows whose buckets bring fewer than k others probe all buckets within one bit
+of theirs, and what is short even then meets all rows in blocks, so none is lost.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ from ..session import cut
 DIM, K = 64, 5
 #: Rows on which the projection and rotation are fitted (the index holds every row).
 FIT_ROWS = 16_384
-#: Substrings per code; two codes within SUBSTRINGS - 1 bits share one.
-SUBSTRINGS = 5
-#: Codes found in a shared bucket are reranked up to this distance.
-RADIUS = 16
+#: Rows that a bucket has about; sets the width of a substring.
+BUCKET_ROWS = 8
+#: Substrings up to BASE_ROWS rows, and the power of the rows with which their number grows beyond.
+SUBSTRINGS, BASE_ROWS, GROWTH = 5, 100_000, 0.18
+#: Least and greatest width of a substring.
+WIDTHS = (4, 32)
 #: Rows per block of a bucket; hot buckets are worked as pairs of blocks.
 BLOCK = 4096
 
@@ -66,6 +71,14 @@ def cuts(bits: int, m: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def layout(rows: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """(rotation, shift, width) of the substrings for so many rows."""
+    width = min(WIDTHS[1], max(WIDTHS[0], np.log2(max(2, rows) / BUCKET_ROWS)))
+    each = max(1, round(bits / width))
+    wanted = max(SUBSTRINGS, int(np.ceil(SUBSTRINGS * (rows / BASE_ROWS) ** GROWTH)))
+    return [(r, a, w) for r in range(-(-wanted // each)) for a, w in cuts(bits, each)]
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -76,18 +89,21 @@ def _floats(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), flat)
 
 
-def encode(vectors: DataFrame, dim: int = DIM, fit_rows: int = FIT_ROWS, seed: int = 0) -> DataFrame:
-    """``id, code long, unit array<float>``. ``vectors(id, vec)`` must be usable ones.
+def encode(vectors: DataFrame, spans: list[tuple[int, int, int]], dim: int = DIM, fit_rows: int = FIT_ROWS, seed: int = 0) -> DataFrame:
+    """``id, buckets array<long>, unit array<float>``. ``vectors(id, vec)`` must be usable ones.
 
     The fit takes the ``fit_rows`` rows with the smallest hash of their id: a bounded sample
     that doesn't depend on partitioning.
     """
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("vec").toPandas()
+    turns = sorted({r for r, _, _ in spans})
     if len(sample):
         x = np.stack(sample["vec"].to_numpy()).astype("float64")
-        mean, turn = fit_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), seed=seed)
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        fitted = [fit_rotation(x, seed=seed + r) for r in turns]
     else:
-        mean, turn = np.zeros(dim), np.eye(dim)
+        fitted = [(np.zeros(dim), np.eye(dim)) for _ in turns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,25 +111,25 @@ def encode(vectors: DataFrame, dim: int = DIM, fit_rows: int = FIT_ROWS, seed: i
             # Scaled first, so that huge or tiny numbers neither overflow nor vanish.
             x /= np.abs(x).max(1, keepdims=True)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            bits = (unit - mean) @ turn > 0
-            packed = np.zeros((len(x), 64), bool)
-            packed[:, : bits.shape[1]] = bits[:, :64]
-            code = np.packbits(packed, axis=1, bitorder="little").view("<i8").ravel()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code), _floats(unit)], names=["id", "code", "unit"])
+            bits = [(unit - mean) @ turn > 0 for mean, turn in fitted]
+            buckets = np.zeros((len(x), len(spans)), "i8")
+            for j, (r, shift, width) in enumerate(spans):
+                part = bits[r][:, shift : shift + width]
+                buckets[:, j] = (j << 40) + part @ (1 << np.arange(part.shape[1], dtype="i8"))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, buckets.size + 1, len(spans)), pa.int32()), pa.array(buckets.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, _floats(unit)], names=["id", "buckets", "unit"])
 
-    return vectors.select("id", "vec").mapInArrow(run, "id long, code long, unit array<float>")
+    return vectors.select("id", "vec").mapInArrow(run, "id long, buckets array<long>, unit array<float>")
 
 
-def _best(ids_a, a, codes_a, ids_b, b, codes_b, k: int, radius: int | None):
-    """Of each row of a its k most similar of b within the radius, as (id, other, similarity) arrays."""
+def _best(ids_a, a, ids_b, b, k: int):
+    """Of each row of a its k most similar of b, as (id, other, similarity) arrays."""
     found = []
     step = max(1, 4_000_000 // max(1, len(b)))
     for at in range(0, len(a), step):
         s = slice(at, at + step)
         sims = a[s] @ b.T
         sims[ids_a[s, None] == ids_b[None, :]] = -9
-        if radius is not None:
-            sims[np.bitwise_count(codes_a[s, None] ^ codes_b[None, :]) > radius] = -9
         few = min(len(b), k + 3)
         top = np.argpartition(-sims, few - 1, axis=1)[:, :few] if few < len(b) else np.tile(np.arange(len(b)), (len(sims), 1))
         rows = np.repeat(np.arange(len(sims)), top.shape[1])
@@ -137,39 +153,42 @@ def _emit(parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["id", "other", "sim"])
 
 
-def _bucket_worker(dim: int, k: int, radius: int):
-    """Works rows that come sorted by bucket; side 0 = one block with itself, 1 and 2 = the two blocks of a pair."""
+def _bucket_worker(dim: int, k: int, both: bool = True):
+    """Works rows that come sorted by bucket; side 0 = one block with itself, 1 and 2 = the two sides of a pair (only 1 asks unless ``both``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         done: list = []
 
-        def work(key, side, ids, codes, m):
+        def work(key, side, ids, m):
             edges = np.flatnonzero(np.r_[True, np.any(key[1:] != key[:-1], axis=1), True])
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if hi - lo < 2:
                     continue
-                i, c, x, sd = ids[lo:hi], codes[lo:hi], m[lo:hi], side[lo:hi]
+                i, x, sd = ids[lo:hi], m[lo:hi], side[lo:hi]
                 if sd[0] == 0 and sd[-1] == 0:
-                    done.append(_best(i, x, c, i, x, c, k, radius))
+                    done.append(_best(i, x, i, x, k))
                 else:
                     p, q = sd == 1, sd == 2
                     if p.any() and q.any():
-                        done.append(_best(i[p], x[p], c[p], i[q], x[q], c[q], k, radius))
-                        done.append(_best(i[q], x[q], c[q], i[p], x[p], c[p], k, radius))
+                        done.append(_best(i[p], x[p], i[q], x[q], k))
+                        if both:
+                            done.append(_best(i[q], x[q], i[p], x[p], k))
 
         def merged():
             return [np.concatenate(x) for x in zip(*held)]
 
         for b in batches:
+            if not b.num_rows:
+                continue
             key = np.stack([b.column(j).to_numpy() for j in range(3)], 1)
-            held.append((key, b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5).to_numpy().view("u8"), _matrix(b.column(6), dim)))
+            held.append((key, b.column(3).to_numpy(), b.column(4).to_numpy(), _matrix(b.column(5), dim)))
             if np.array_equal(held[0][0][0], key[-1]):
                 continue  # still the same bucket
-            key, side, ids, codes, m = merged()
+            key, side, ids, m = merged()
             last = int(np.flatnonzero(np.any(key != key[-1], axis=1))[-1]) + 1
-            work(key[:last], side[:last], ids[:last], codes[:last], m[:last])
-            held[:] = [(key[last:], side[last:], ids[last:], codes[last:], m[last:])]
+            work(key[:last], side[:last], ids[:last], m[:last])
+            held[:] = [(key[last:], side[last:], ids[last:], m[last:])]
             if sum(len(x[0]) for x in done) > 20_000:
                 yield _emit(done)
                 done.clear()
@@ -181,7 +200,7 @@ def _bucket_worker(dim: int, k: int, radius: int):
     return run
 
 
-def neighbours(vectors: DataFrame, id_col: str = "symbol_id", vec_col: str = "embedding", dim: int = DIM, k: int = K, substrings: int = SUBSTRINGS, radius: int = RADIUS, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> DataFrame:
+def neighbours(vectors: DataFrame, id_col: str = "symbol_id", vec_col: str = "embedding", dim: int = DIM, k: int = K, fit_rows: int = FIT_ROWS, block: int = BLOCK, spans: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """``id, other, sim``: of every usable vector its k most similar others by cosine, best first by (sim, other id).
 
     Defined results: vectors that are null, of another length, all zero or hold null, NaN or
@@ -191,39 +210,50 @@ def neighbours(vectors: DataFrame, id_col: str = "symbol_id", vec_col: str = "em
     that shares no substring is missed unless its row found fewer than k.
     """
     spark = vectors.sparkSession
-    base = cut(encode(usable(vectors, id_col, vec_col, dim), dim, fit_rows))
-    spans = cuts(min(dim, 64), substrings)
-    sub = F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("code", s).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for j, (s, w) in enumerate(spans)])
-    probes = base.select("id", "code", F.explode(sub).alias("p")).select("id", "code", F.col("p.j").alias("j"), F.col("p.v").alias("v"))
+    spans = spans or layout(vectors.count(), min(dim, 64))
+    base = cut(encode(usable(vectors, id_col, vec_col, dim), spans, dim, fit_rows))
+    probes = base.select("id", F.explode("buckets").alias("bucket"))
     # Buckets beyond one block; their number is bounded by rows * substrings / block.
-    hot = probes.groupBy("j", "v").count().where(F.col("count") > block).select("j", "v", F.ceil(F.col("count") / block).cast("int").alias("nb"))
-    full = base.select("id", "code", "unit", F.explode(sub).alias("p")).select("id", "code", "unit", F.col("p.j").alias("j"), F.col("p.v").alias("v"))
-    laid = full.join(hot, ["j", "v"], "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    hot = probes.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("nb"))
+    full = base.select("id", "unit", F.explode("buckets").alias("bucket"))
+    laid = full.join(hot, "bucket", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     other = F.sequence(F.lit(0), F.col("nb") - 1)
-    laid = laid.withColumn("b", own).select("id", "code", "unit", "j", "v", "b", F.explode(other).alias("x"))
+    laid = laid.withColumn("b", own).select("id", "unit", "bucket", "b", F.explode(other).alias("x"))
     side = F.when(F.col("b") == F.col("x"), 0).when(F.col("b") < F.col("x"), 1).otherwise(2)
-    laid = laid.select(
-        (F.col("j").cast("long") * F.lit(1 << 32) + F.col("v")).alias("bucket"),
-        F.least("b", "x").alias("lo"),
-        F.greatest("b", "x").alias("hi"),
-        side.alias("side"),
-        "id",
-        "code",
-        "unit",
-    )
+    laid = laid.select("bucket", F.least("b", "x").alias("lo"), F.greatest("b", "x").alias("hi"), side.alias("side"), "id", "unit")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    found = laid.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "side").mapInArrow(_bucket_worker(dim, k, radius), _OUT)
-    merged = cut(_top(found, k))
-    short = base.join(merged.where(F.size("best") >= k).select("id"), "id", "left_anti")
-    # The rows that found too few meet all rows, block by block.
-    blocks = max(1, parts)
-    asked = short.select("id", "unit", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x"), F.lit(1).alias("ask"))
-    every = base.select("id", "unit", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("x"), F.lit(0).alias("ask"))
-    rest = asked.unionByName(every).repartition(blocks, "x").sortWithinPartitions("x", "ask").mapInArrow(_all_worker(dim, k), _OUT)
-    extra = _top(rest, k)
-    both = merged.join(extra.select("id"), "id", "left_anti").unionByName(extra)
-    return both.select("id", F.explode("best").alias("e")).select("id", F.col("e.other").alias("other"), (-F.col("e.n")).alias("sim"))
+    group = ["bucket", "lo", "hi"]
+
+    def worked(rows: DataFrame, both: bool) -> DataFrame:
+        return rows.repartition(parts, *group).sortWithinPartitions(*group, "side").mapInArrow(_bucket_worker(dim, k, both), _OUT)
+
+    found = cut(_top(worked(laid, True), k))
+
+    def short(near: DataFrame) -> DataFrame:
+        return base.join(near.where(F.size("best") >= k).select("id"), "id", "left_anti")
+
+    few = cut(short(found))
+    if not few.isEmpty():
+        found = cut(_merged(found, _top(worked(_widened(few, base, spans), False), k), k))
+        few = cut(short(found))
+    if not few.isEmpty():
+        # What is short even then meets all rows, block by block.
+        asked = few.select("id", "unit", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("x"), F.lit(1).alias("ask"))
+        every = base.select("id", "unit", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("x"), F.lit(0).alias("ask"))
+        rest = asked.unionByName(every).repartition(parts, "x").sortWithinPartitions("x", "ask").mapInArrow(_all_worker(dim, k), _OUT)
+        found = _merged(found, _top(rest, k), k)
+    return found.select("id", F.explode("best").alias("e")).select("id", F.col("e.other").alias("other"), (-F.col("e.n")).alias("sim"))
+
+
+def _widened(few: DataFrame, base: DataFrame, spans: list[tuple[int, int, int]]) -> DataFrame:
+    """Rows for the bucket workers in which ``few`` ask the members of all buckets one bit away from theirs."""
+    flips = F.array(*[F.array(*[F.lit(1 << b).cast("long") for b in range(w)]) for _, _, w in spans])
+    near = F.flatten(F.transform("buckets", lambda v, j: F.transform(F.get(flips, j), lambda f: v.bitwiseXOR(f))))
+    asked = few.select(F.explode(near).alias("bucket"), "id", "unit")
+    members = base.select(F.explode("buckets").alias("bucket"), "id", "unit").join(asked.select("bucket").distinct(), "bucket", "left_semi")
+    zero, one = F.lit(0), F.lit(1)
+    return asked.select("bucket", zero.alias("lo"), one.alias("hi"), one.alias("side"), "id", "unit").unionByName(members.select("bucket", zero.alias("lo"), one.alias("hi"), F.lit(2).alias("side"), "id", "unit"))
 
 
 def _all_worker(dim: int, k: int):
@@ -243,7 +273,7 @@ def _all_worker(dim: int, k: int):
                 if wanted.any() and ids:
                     if len(ids) > 1:
                         ids, mats = [np.concatenate(ids)], [np.concatenate(mats)]
-                    yield _emit([_best(i[wanted], m[wanted], None, ids[0], mats[0], None, k, None)])
+                    yield _emit([_best(i[wanted], m[wanted], ids[0], mats[0], k)])
 
     return run
 
@@ -253,6 +283,11 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(pair)), 1, k).alias("best"))
 
 
+def _merged(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """The best k of two lists per row."""
+    return a.unionByName(b).groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+
+
 def pairs(near: DataFrame) -> DataFrame:
     """``symbol_a < symbol_b``: pairs of which at least one is among the most similar of the other."""
     return near.select(F.least("id", "other").alias("symbol_a"), F.greatest("id", "other").alias("symbol_b")).distinct()
