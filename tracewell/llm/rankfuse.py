@@ -8,7 +8,8 @@ score. Items are ordered by their projection.
 
 Ranks are taken without ever putting a query's items into one task: distinct scores are
 pre-aggregated, range-partitioned over all queries at once, and each stretch of a query in a
-partition gets its offset from the counts of the stretches before it.
+partition gets its offset from the counts of the stretches before it. What a query as a whole
+has (its size, moments and loadings) is one row a query, joined back to its items.
 """
 
 from __future__ import annotations
@@ -50,13 +51,18 @@ def distributed_rank(values: DataFrame, group: str, score: str) -> DataFrame:
     )
 
 
-def principal_weights(matrix: list[list[float]], power_steps: int = 64) -> list[float]:
-    """Absolute loadings of the first principal component of a correlation matrix, by numpy's symmetric solver."""
+def principal_weights(matrix: list[list[float]]) -> list[float]:
+    """Loadings of the first principal component of a correlation matrix, each oriented to its score's declared direction.
+
+    Where the largest eigenvalue is a multiple one, as that of uncorrelated scores, the component
+    taken is the one of its space that lies nearest to equal loadings.
+    """
     import numpy as np
 
-    m = np.array(matrix, float)
-    _, vectors = np.linalg.eigh(m)
-    return np.abs(vectors[:, -1]).tolist()
+    values, vectors = np.linalg.eigh(np.array(matrix, float))
+    top = vectors[:, values >= values[-1] - 1e-9]
+    w = np.abs(top @ top.sum(0)) if top.shape[1] > 1 else np.abs(top[:, 0])
+    return (w / np.linalg.norm(w)).tolist()
 
 
 def fuse_rankings(items: DataFrame, group: str, item: str, scores: Sequence[tuple[str, bool]]) -> DataFrame:
@@ -70,8 +76,8 @@ def fuse_rankings(items: DataFrame, group: str, item: str, scores: Sequence[tupl
     is constant in a group (or a group of one item) has no variance and counts nothing; an
     empty table gives no rows; further columns are ignored.
 
-    For two scores the component's loadings are equal in size whatever their correlation, so
-    both count alike; for more, each group's matrix is solved in Arrow batches.
+    Each group's matrix is solved in Arrow batches. For two scores the oriented loadings come out
+    equal in size whatever their correlation, so both count alike.
     """
     names = [c for c, _ in scores]
     clean = items.select(group, item, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in names])
@@ -113,11 +119,8 @@ def fuse_rankings(items: DataFrame, group: str, item: str, scores: Sequence[tupl
 
 def _loadings(moments: DataFrame, names: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
     """The groups' moments with the oriented loadings ``_w_<score>``."""
-    if len(names) <= 2:
-        # The symmetric 2 x 2 matrix [[1, r], [r, 1]] has the first component (1, sign r) / sqrt 2;
-        # oriented to the declared directions it is (1, 1) / sqrt 2.
-        w = 1.0 if len(names) == 1 else 0.5**0.5
-        return moments.withColumns({f"_w_{c}": F.lit(w) for c in names})
+    if len(names) == 1:
+        return moments.withColumn(f"_w_{names[0]}", F.lit(1.0))
     r = F.array(*[F.coalesce(F.nanvl(F.col(f"_r_{i}_{j}"), F.lit(0.0)), F.lit(0.0)) for i, j in pairs])
 
     @F.pandas_udf("array<double>")

@@ -21,8 +21,8 @@ MAX_SIZE, OVERLAP = 1000, 100
 #: Penalty of a cut by what it breaks, best boundary first.
 PENALTY = {"paragraph": 0.0, "line": 1.0, "sentence": 1.5, "clause": 4.0, "word": 6.0, "inside": 20.0}
 FENCE_PENALTY, PIECE_COST, EVEN_WEIGHT = 3.0, 2.0, 12.0
-#: Stretches without a natural boundary get a hard candidate every so many characters.
-HARD_STEP = 40
+#: In a stretch of more characters without a natural boundary every character is a candidate.
+HARD_GAP = 40
 
 _BOUNDARIES = (
     ("word", re.compile(r"\s+")),
@@ -53,15 +53,10 @@ def candidates(text: str) -> tuple[list[int], list[float]]:
             best[p] += FENCE_PENALTY
     at, hard = 0, []
     for p in [*sorted(best), n]:
-        while p - at > HARD_STEP:
-            at += HARD_STEP
-            q = at
-            while q > at - HARD_STEP + 1 and _joined(text, q):
-                q -= 1
-            if q > at - HARD_STEP + 1 and q not in best:
-                hard.append(q)
-            elif q not in best:
-                hard.append(at)
+        if p - at > HARD_GAP:
+            apart = [q for q in range(at + 1, p) if not _joined(text, q)]
+            # What is seen as one character is only cut if it is too long itself.
+            hard += apart or range(at + 1, p)
         at = p
     for q in hard:
         best[q] = PENALTY["inside"]
@@ -83,19 +78,27 @@ def split_points(text: str, max_size: int = MAX_SIZE, overlap: int = OVERLAP) ->
     few = -(-(n - overlap) // (max_size - overlap))
     even = (n + (few - 1) * overlap) / few
     m = len(pos)
+    lo = np.searchsorted(pos, pos - (max_size - overlap)).tolist()
+    # The squared deviation of a piece (a, j) expands into parts of a, parts of j and one product.
+    scale = EVEN_WEIGHT / max_size**2
+    shift = overlap - even
+    x = pos.astype("f8")
+    of_j = scale * (x + shift) ** 2 + pen + PIECE_COST
+    of_a = scale * (x * x - 2 * shift * x)
+    twice = 2 * scale * x
     cost, back = np.full(m, np.inf), np.full(m, -1)
-    lo = np.searchsorted(pos, pos - (max_size - overlap))
     first = pos <= max_size
-    cost[first] = pen[first] + PIECE_COST + EVEN_WEIGHT * ((pos[first] - even) / max_size) ** 2
+    cost[first] = pen[first] + PIECE_COST + scale * (x[first] - even) ** 2
+    held = cost + of_a
     for j in range(m):
         a = lo[j]
         if a < j:
-            size = pos[j] - pos[a:j] + overlap
-            c = cost[a:j] + EVEN_WEIGHT * ((size - even) / max_size) ** 2
+            c = held[a:j] - twice[j] * x[a:j]
             k = int(c.argmin())
-            v = c[k] + pen[j] + PIECE_COST
+            v = c[k] + of_j[j]
             if v < cost[j]:
                 cost[j], back[j] = v, a + k
+                held[j] = v + of_a[j]
     cuts, j = [], m - 1
     while j >= 0:
         cuts.append(int(pos[j]))
