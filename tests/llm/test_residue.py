@@ -143,8 +143,8 @@ def test_preselection_loses_no_near_duplicate(spark):
     other = [[w if rng.random() > 0.01 else "new" + w for w in b] for b in base]
     seeds = spark.createDataFrame([(" ".join(b),) for b in base], "text string")
     packed = np.packbits(R.shingle_table(seeds), bitorder="little").tobytes()
-    asked = spark.createDataFrame([(i, " ".join(o) + ".") for i, o in enumerate(other)], "id long, text string")
-    got = {r["id"] for r in asked.mapInArrow(R._alike(packed), "id long, key long, text string").collect()}
+    asked = spark.createDataFrame([(i, " ".join(o) + ".") for i, o in enumerate(other)], "id long, text string").mapInArrow(R._passages, R._PASSAGES)
+    got = {r["id"] for r in asked.select("id", "key", "places").mapInArrow(R._alike(packed), "id long, key long").collect()}
     sets = [[set(R.shingle_hashes(" ".join(x), {}).tolist()) for x in side] for side in (base, other)]
     want = {i for i in range(60) if len(sets[0][i] & sets[1][i]) >= 0.8 * len(sets[0][i] | sets[1][i])}
     assert want and want <= got

@@ -11,13 +11,15 @@ take no label.
 Only components that hold a trusted passage are built. A passage can be a near-duplicate of a
 passage only if at least SIMILARITY of its own shingles occur there, so a bit table of fixed size
 over the labelled passages' shingles tells, without losing any, which passages of the corpus can
-be linked to them; the tables then hold these only. Newly labelled passages are asked about in
-turn until none comes.
+be linked to them; the tables then hold these only. The texts are read once: what is kept of a
+passage is its key and the places of its shingles in such a table. Newly labelled passages are
+asked about in turn until none comes.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import checkpoint_dir, cut
 
 #: Words per shingle and the least similarity of near-duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -139,27 +141,55 @@ def _key(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-_TRUST = "id long, key long, text string"
+_PASSAGES = "id long, mark int, key long, text string, places array<int>"
+#: Marks of a row: residue by itself, a trusted passage, any other passage.
+EVIDENT, TRUSTED, OTHER = 2, 1, 0
 
 
-def _trust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each row of (id, text) that shows residue itself: its trusted passages, or a null key if it has none of its own."""
-    from .residue_rules import read, skeleton, trusted
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row of (id, text) what shows it to be residue, or else its passages that report nothing."""
+    from .residue_rules import REPORTED, read, skeleton, trusted
 
+    memo: dict[str, int] = {}
     for batch in batches:
-        ids, keys, out = [], [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            evident, passages = read(text)
-            found = [skeleton(p) for p in trusted(passages)]
-            if evident and not found:
-                ids.append(i)
-                keys.append(None)
-                out.append(None)
-            for p in found:
-                ids.append(i)
-                keys.append(_key(p))
-                out.append(p)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["id", "key", "text"])
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            rows: list[tuple] = []
+            others: list[str] = []
+            owners: list[int] = []
+            for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                evident, passages = read(text)
+                found = [skeleton(p) for p in trusted(passages)]
+                rows += [(i, TRUSTED, _key(p), p) for p in found]
+                if found:
+                    continue
+                if evident:
+                    rows.append((i, EVIDENT, None, None))
+                    continue
+                for p in passages:
+                    if not REPORTED.search(p):
+                        others.append(skeleton(p))
+                        owners.append(i)
+            h, sizes = passage_shingles(others, memo)
+            # Sets are compared, so a shingle counts once in its passage.
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            once = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])][: len(h)]
+            places = pa.array((h[once] % np.uint64(TABLE_BITS)).astype("i4"))
+            ends = np.cumsum(np.bincount(owner[once], minlength=len(others)))
+            offsets = pa.array(np.concatenate([np.zeros(len(rows) + 1, "i4"), ends.astype("i4")]))
+            blank = [None] * len(others)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r in rows] + owners, pa.int64()),
+                    pa.array([r[1] for r in rows] + [OTHER] * len(others), pa.int32()),
+                    pa.array([r[2] for r in rows] + [_key(p) for p in others], pa.int64()),
+                    pa.array([r[3] for r in rows] + blank, pa.string()),
+                    pa.ListArray.from_arrays(offsets, places),
+                ],
+                names=["id", "mark", "key", "text", "places"],
+            )
 
 
 def shingle_table(passages: DataFrame) -> np.ndarray:
@@ -179,38 +209,47 @@ def shingle_table(passages: DataFrame) -> np.ndarray:
 
 
 def _alike(packed: bytes):
-    """Passages of (id, text) rows of whose shingles at least SIMILARITY are in the table."""
+    """``id, key`` of those (id, key, places) rows of whose shingles at least SIMILARITY are in the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .residue_rules import REPORTED, read, skeleton
-
-        table = np.unpackbits(np.frombuffer(packed, "u1"), bitorder="little").astype(bool)
-        memo: dict[str, int] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, passages = [], []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for p in read(text)[1]:
-                        ids.append(i)
-                        passages.append(skeleton(p))
-                if not ids:
-                    continue
-                h, sizes = passage_shingles(passages, memo)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                # Sets are compared, so a shingle counts once in its passage.
-                order = np.lexsort((h, owner))
-                h, owner = h[order], owner[order]
-                once = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])][: len(h)]
-                own = np.bincount(owner[once], minlength=len(sizes))
-                there = np.bincount(owner[once], weights=table[(h[once] % np.uint64(TABLE_BITS)).astype("i8")], minlength=len(sizes))
-                hits = [k for k in np.flatnonzero((own > 0) & (there >= SIMILARITY * own)).tolist() if not REPORTED.search(passages[k])]
-                texts = [passages[k] for k in hits]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in hits], pa.int64()), pa.array([_key(t) for t in texts], pa.int64()), pa.array(texts, pa.string())], names=["id", "key", "text"])
+        table = np.unpackbits(np.frombuffer(packed, "u1"), bitorder="little")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(2)
+            offsets = lists.offsets.to_numpy().astype("i8")
+            there = np.concatenate([[0], np.cumsum(table[lists.values.to_numpy()], dtype="i8")])
+            own = np.diff(offsets)
+            hit = pa.array((own > 0) & (there[offsets[1:]] - there[offsets[:-1]] >= SIMILARITY * own))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(hit), b.column(1).filter(hit)], names=["id", "key"])
 
     return run
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, keys) to the passages (key, text) of the text that have one of the keys."""
+    from .residue_rules import read, skeleton
+
+    for batch in batches:
+        found: dict[int, str] = {}
+        for text, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            wanted = set(keys)
+            for p in map(skeleton, read(text)[1]):
+                if (k := _key(p)) in wanted:
+                    found[k] = p
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["key", "text"])
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Written once into the shared folder, by column, and read back; the table goes with the application."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/passages-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def _banded(sigs: DataFrame) -> DataFrame:
     """``bucket, size_class, low, rep, sig``: a row per band and size class a text can meet others in.
 
@@ -444,13 +483,18 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near-duplicate search; an empty table gives no rows; further columns are ignored.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\S")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    shown = cut(rows.mapInArrow(_trust, _TRUST))
-    labelled = fresh = cut(shown.where("key is not null").groupBy("key").agg(F.min("text").alias("text")))
-    named = shown.select("id", F.lit(True).alias("trusted"))
+    passages = _stored(rows.mapInArrow(_passages, _PASSAGES))
+    labelled = fresh = cut(passages.where(F.col("mark") == TRUSTED).groupBy("key").agg(F.min("text").alias("text")))
+    named = passages.where(F.col("mark") > OTHER).select("id", F.lit(True).alias("trusted"))
+    others = passages.where(F.col("mark") == OTHER).select("id", "key", "places")
     while not fresh.isEmpty():
-        near = cut(rows.mapInArrow(_alike(np.packbits(shingle_table(fresh), bitorder="little").tobytes()), _TRUST))
-        asked = near.groupBy("key").agg(F.min("text").alias("text")).join(labelled.select("key"), "key", "left_anti")
-        items = cut(asked.withColumn("old", F.lit(False)).unionByName(fresh.withColumn("old", F.lit(True))))
+        near = cut(others.mapInArrow(_alike(np.packbits(shingle_table(fresh), bitorder="little").tobytes()), "id long, key long"))
+        # One row brings the text of a passage, however many have it.
+        asked = near.groupBy("key").agg(F.min("id").alias("id")).join(labelled.select("key"), "key", "left_anti").groupBy("id").agg(F.collect_list("key").alias("keys"))
+        # Stored, so that its size is known when the texts are joined: a small one is sent to them, a large one meets them by id.
+        asked = _stored(asked)
+        brought = rows.join(asked, "id").select("text", "keys").mapInArrow(_texts, "key long, text string").groupBy("key").agg(F.min("text").alias("text"))
+        items = cut(brought.withColumn("old", F.lit(False)).unionByName(fresh.withColumn("old", F.lit(True))))
         texts = items.select(F.col("key").alias("rep"), "text")
         links = cut(near_duplicates(texts, texts.mapInArrow(_sign, "rep long, size int, sig array<long>")))
         reached = items.where("false").select("key", "text")

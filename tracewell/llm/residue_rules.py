@@ -141,7 +141,7 @@ CHROME = re.compile(
     r"^(?:menu|skip to content|home(?: \| \w[\w ]*)+|terms(?: · \w+)+|© \d{4}.*|report a problem|back to the start page|loading…?|sign in|search|request id: \S+|reload afterwards|check the link and try again|go back or use the search)[.!]*$",
     re.I,
 )
-_SPLIT = re.compile(r"[\r\n]+|(?<=[.!?])\s+|(?<=[。！？])")
+_SENTENCE_END = re.compile(r"[.!?]\s+|[。！？]")
 # A closing fence is at least as long as its opening one; backticks with more of them on the line are a span.
 _FENCE = re.compile(r"^ {0,3}(?:(`{3,})(?!`)[^`\n]*|(~{3,})(?!~)[^\n]*)(?:\n|\Z).*?(?:^ {0,3}(?:\1`*|\2~*)[ \t]*$|\Z)", re.M | re.S)
 _LINE_END = re.compile(r"\r\n?")
@@ -257,6 +257,10 @@ _DIGIT = re.compile(r"\d")
 ALONE = 4
 
 
+def _unquoted(sentence: str) -> str:
+    return QUOTED.sub(" ", sentence) if '"' in sentence or "`" in sentence or "“" in sentence or "„" in sentence else sentence
+
+
 def skeleton(passage: str) -> str:
     """The passage without what varies between copies of one template: case and numbers."""
     return _DIGIT.sub("0", passage.lower())
@@ -268,22 +272,28 @@ def read(text: str | None) -> tuple[bool, list[str]]:
         return False, []
     evident = False
     passages: dict[str, None] = {}
+    words = set(_WORD.findall(text.lower()))
+    # Dummy Latin and mashed keys take several words of their kind; few texts have them.
+    odd = len(words & LATIN) > 1 or any(w[:3] in _STARTS for w in words)
     for raw in _LINES.split(_FENCE.sub("\n", _LINE_END.sub("\n", text))):
         line = raw.strip()
         if not line:
             continue
         if line[0] in "{<" and PAYLOAD.search(line):
             evident = True
-        prose = _prose(raw)
-        if _OPEN.search(line) and open_value(line) and (prose or _TITLED.match(line)):
+        code = not _prose(raw)
+        if _OPEN.search(line) and open_value(line) and (not code or _TITLED.match(line)):
             evident = True
-        if not prose:
+        if code:
             continue
-        for sentence in _SPLIT.split(_COMMENT.sub("", raw)):
-            passage = _BULLET.sub("", QUOTED.sub(" ", sentence).strip())
+        prose = _COMMENT.sub("", raw)
+        start = 0
+        for end in [*(m.end() for m in _SENTENCE_END.finditer(prose)), len(prose)]:
+            passage = _BULLET.sub("", _unquoted(prose[start:end]).strip())
+            start = end
             if passage and passage not in passages:
                 passages[passage] = None
-                evident = evident or dummy_latin(passage) or mashed(passage)
+                evident = evident or odd and (dummy_latin(passage) or mashed(passage))
     return evident, list(passages)
 
 
