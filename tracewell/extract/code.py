@@ -44,6 +44,7 @@ _FUNCTION = {
     "ruby": r"^\s*def\s+(?:self\.)?(?P<n>[\w]+[?!=]?)",
 }
 _METHOD = {"js": rf"^\s*{_WORDS}(?:get\s+|set\s+|\*\s*|#)?(?P<n>(?!(?:if|for|while|switch|catch|return|function|constructor\b\s*=)\b)[\w$]+)\s*(?:<[^>]*>)?\([^;]*\{{\s*$"}
+_VARIABLE_RX = {"js": re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:const|let)\s+(?P<n>[\w$]+)\s*(?::[^=]+)?(?:=|;|$)")}
 _CONTAINER_RX = {k: re.compile(v) for k, v in _CONTAINER.items()}
 _FUNCTION_RX = {k: re.compile(v) for k, v in _FUNCTION.items()}
 _METHOD_RX = {k: re.compile(v) for k, v in _METHOD.items()}
@@ -141,6 +142,16 @@ def _end_of_block(lines: list[str], at: int, family: str) -> int:
     return len(lines)
 
 
+def _end_of_statement(lines: list[str], at: int) -> int:
+    """1-based last line of the statement that begins in line ``at``: where all its brackets are closed."""
+    depth = 0
+    for i in range(at - 1, len(lines)):
+        depth += sum((c in "([{") - (c in ")]}") for c in lines[i])
+        if depth <= 0 and not lines[i].rstrip().endswith(("=", ",", "+", "&&", "||", "?", ":")):
+            return i + 1
+    return len(lines)
+
+
 def scanned_symbols(text: str, family: str) -> tuple[list[Symbol], set[tuple[str, int]]]:
     source, lines = text.split("\n"), masked(text, family).split("\n")
     out: list[Symbol] = []
@@ -165,6 +176,10 @@ def scanned_symbols(text: str, family: str) -> tuple[list[Symbol], set[tuple[str
             out.append(Symbol(len(out), name, "method" if method else "function", i, end, parent, _slice(source, i, end)))
             i = end + 1 if end > i else i + 1
             continue
+        if family in _VARIABLE_RX and (m := _VARIABLE_RX[family].match(s)):
+            end = _end_of_statement(lines, i)
+            out.append(Symbol(len(out), m["n"], "variable", i, end, parent, _slice(source, i, end)))
+            i = end
         i += 1
     refs = {(w, k) for k, s in enumerate(lines, 1) for w in _IDENT.findall(_STRINGS.sub("", s)) if w not in _KEYWORDS}
     return out, refs

@@ -102,3 +102,27 @@ def simple_highlights(query_words: Sequence[str], source: Column) -> Column:
         return F.when(F.length(y) > 50, F.concat(F.substring(y, 1, 97), F.lit("..."))).otherwise(y)
 
     return F.transform(F.slice(F.filter(head, fits), 1, 3), shorten)
+
+
+_PART, _HEAD = r"[\p{L}\p{N}\p{Co}]+[^\p{L}\p{N}\p{Co}]*", r"^[\p{L}\p{N}\p{Co}]+"
+
+
+def snippets(terms: Sequence[str], source: Column, fold, width: int = 20, most: int = 3, mark: str = "**") -> Column:
+    """Up to ``most`` stretches of ``width`` tokens that begin at a term, terms marked, those with most terms first.
+
+    Stretches don't overlap: each begins at the first term behind the one before. ``fold`` is the
+    folding of the tokenizer. Stretches of at most ten characters are left out; null gives null.
+    """
+    parts = F.regexp_extract_all(source, F.lit(_PART), F.lit(0))
+    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    known = F.transform(parts, lambda p: F.array_contains(wanted, fold(F.regexp_extract(p, _HEAD, 0))))
+    hits = F.filter(F.transform(known, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    starts = F.aggregate(hits, F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == 0) | (F.element_at(acc, -1) + width <= i), F.concat(acc, F.array(i))).otherwise(acc))
+    ranked = F.slice(F.sort_array(F.transform(starts, lambda s: F.struct((-F.size(F.filter(hits, lambda i: (i >= s) & (i < s + width)))).alias("n"), s.alias("s")))), 1, most)
+
+    def shown(at: Column) -> Column:
+        marked = F.transform(F.slice(F.arrays_zip(parts.alias("p"), known.alias("k")), at + 1, width), lambda x: F.when(x["k"], F.concat(F.lit(mark), F.regexp_replace(x["p"], rf"({_HEAD})", rf"$1{mark.replace('$', '')}"))).otherwise(x["p"]))
+        body = F.regexp_replace(F.array_join(marked, ""), r"\s+$", "")
+        return F.concat(F.when(at > 0, "...").otherwise(""), body, F.when(at + width < F.size(parts), "...").otherwise(""))
+
+    return F.filter(F.transform(ranked, lambda r: shown(r["s"])), lambda x: F.length(x) > 10)

@@ -46,7 +46,8 @@ def new_docstrings(found: DataFrame, doc_files: DataFrame, doc_chunks: DataFrame
     order of (line, name).
     """
     stored = doc_files.where("doc_type = 'docstring'").select("doc_file_id", "path").join(doc_chunks.select("doc_file_id", "chunk_index", "section_title", F.col("line_start").alias("at")), "doc_file_id")
-    long = found.where(F.length(F.trim("docstring")) >= MIN_DOCSTRING).dropDuplicates(["path", "name", "line_start"])
+    key = ["path", "name", "line_start"]
+    long = found.where(F.length(F.trim("docstring")) >= MIN_DOCSTRING).groupBy(*key).agg(F.min(F.struct("docstring", "line_end")).alias("d")).select(*key, "d.line_end", "d.docstring")
     fresh = long.join(stored.select("path", F.col("section_title").alias("name"), F.col("at").alias("line_start")).distinct(), ["path", "name", "line_start"], "left_anti")
     last = stored.groupBy("path").agg(F.max("chunk_index").alias("last"))
     place = F.row_number().over(Window.partitionBy("path").orderBy("line_start", "name"))

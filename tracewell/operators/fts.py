@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SearchError
+from ..functions import text as text_functions
 from ..validation import fts_query
 
 logger = logging.getLogger(__name__)
@@ -43,10 +44,13 @@ def _folding() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _folding()
 
 
+def folded(text: Column) -> Column:
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), FOLD_FROM, FOLD_TO)
+
+
 def tokens(text: Column) -> Column:
     """Tokens in order, folded; empty for null."""
-    plain = F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), FOLD_FROM, FOLD_TO)
-    return F.coalesce(F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(folded(text), F.lit(_TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
 def word_tokens(word: str) -> list[str]:
@@ -252,3 +256,13 @@ def bm25(index: DataFrame, doc_lengths: DataFrame, query: str, top_k: int | None
         score = score + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("length") / avg))
     out = per_row.where(holds(tree)).join(doc_lengths, "id").select("id", F.round(-score, digits).alias("score"))
     return out.orderBy("score", "id").limit(top_k) if top_k else out
+
+
+def highlights(query: str, source: Column) -> Column:
+    """Marked stretches of a text around the words of a query; where the grammar refuses the query, lines that hold its words."""
+    try:
+        tree = parse(query)
+    except SearchError:
+        return text_functions.simple_highlights(query.split(), source)
+    terms = list(dict.fromkeys(t for p in tree.scored() for t in p)) if tree else []
+    return text_functions.snippets(terms, source, folded)

@@ -31,9 +31,20 @@ def file_history(commits: DataFrame, stats: DataFrame, path: str, max_results: i
     return _shown(commits.join(touched, "full_hash")).orderBy("seq").limit(max_results)
 
 
+def files_changed(commits: DataFrame, stats: DataFrame) -> DataFrame:
+    """Commits with the number of files each changed; 0 for a commit without any."""
+    counts = stats.groupBy("full_hash").agg(F.countDistinct("path").alias("files_changed"))
+    return _shown(commits).join(counts, "full_hash", "left").withColumn("files_changed", F.coalesce("files_changed", F.lit(0).cast("long")))
+
+
 def commit_detail(commits: DataFrame, stats: DataFrame, prefix: str, target: str | None = None) -> DataFrame:
     """The files of the commit whose hash starts with the prefix: ``hash, message, path, insertions, deletions``."""
-    wanted = commits.where(F.startswith("full_hash", F.lit(commit_hash(prefix)))).orderBy("seq").limit(1)
+    return detail_of(commits.where(F.startswith("full_hash", F.lit(commit_hash(prefix)))), stats, target)
+
+
+def detail_of(commits: DataFrame, stats: DataFrame, target: str | None = None) -> DataFrame:
+    """The same for the newest of some commits."""
+    wanted = commits.orderBy("seq").limit(1)
     files = stats if target is None else stats.where(F.col("path") == target)
     return F.broadcast(_shown(wanted)).join(files, "full_hash", "left").select("hash", "full_hash", "message", "author", "path", "insertions", "deletions").orderBy("path")
 

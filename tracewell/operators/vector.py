@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+import os
+import time
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -11,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+logger = logging.getLogger(__name__)
 LEG = 50
 
 
@@ -33,6 +37,36 @@ class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
+def choose_device(wanted: str | None = None) -> str:
+    """``cuda``, ``mps`` or ``cpu``: the one asked for (or named by TRACEWELL_DEVICE) if it is there, else the fastest that is.
+
+    Without torch there is only the CPU. Executors choose for themselves.
+    """
+    wanted = (wanted or os.environ.get("TRACEWELL_DEVICE") or "auto").lower()
+    there = {"cpu"}
+    try:
+        import torch
+
+        there |= {"cuda"} if torch.cuda.is_available() else set()
+        there |= {"mps"} if torch.backends.mps.is_available() else set()
+    except ImportError:
+        pass
+    if wanted in there:
+        return wanted
+    if wanted != "auto":
+        logger.warning("no device %s here", wanted)
+    return next(d for d in ("cuda", "mps", "cpu") if d in there)
+
+
+def warm_up(embedder: Embedder, task: str = "nl2code") -> float:
+    """Embeds one text, so that a provider loads its model before it is needed; returns the seconds that took."""
+    began = time.perf_counter()
+    made = embedder.embed([f"{task}: warm up"])[0]
+    if len(made) != embedder.dim:
+        raise ValueError(f"the provider gives vectors of {len(made)} numbers and says {embedder.dim}")
+    return time.perf_counter() - began
+
+
 class HashedNgrams:
     """Deterministic stand-in for a model: hashed character trigrams of a text, unit length."""
 

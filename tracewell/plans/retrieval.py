@@ -95,38 +95,44 @@ def simple_highlights(spark: SparkSession, d: str) -> DataFrame:
 FOLD = f"translate(regexp_replace(lower({{}}), '\\p{{{{Mn}}}}+', '', 'g'), '{fts.FOLD_FROM}', '{fts.FOLD_TO}')"
 
 
-def sql_tokens(col: str) -> str:
-    return f"coalesce(regexp_extract_all({FOLD.format(col)}, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), [])"
+#: The queries read by hand: phrases, condition on their counts, phrases that score.
+BY_HAND = {
+    "drain snapshot": ((("drain",), ("snapshot",)), "f0 > 0 and f1 > 0", (0, 1)),
+    "rolling queue": ((("rolling",), ("queue",)), "f0 > 0 and f1 > 0", (0, 1)),
+    "semaphore": ((("semaphore",),), "f0 > 0", (0,)),
+    "snapshot": ((("snapshot",),), "f0 > 0", (0,)),
+    "run": ((("run",),), "f0 > 0", (0,)),
+    "never_grows": ((("never", "grows"),), "f0 > 0", (0,)),
+    "ledger AND vector OR harness NOT cursor": ((("ledger",), ("vector",), ("harness",), ("cursor",)), "(f0 > 0 and f1 > 0) or (f2 > 0 and not f3 > 0)", (0, 1, 2)),
+    "léger OR índice OR größeren": ((("leger",), ("indice",), ("großeren",)), "f0 > 0 or f1 > 0 or f2 > 0", (0, 1, 2)),
+}
+
+
+def sql_tokens(col: str, plain: str = "regexp_replace(strip_accents(lower({})), '\\p{{Mn}}+', '', 'g')") -> str:
+    return f"coalesce(regexp_extract_all({plain.format(col)}, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), [])"
 
 
 def sql_leg(corpus: tuple, query: str, tag: str = "k") -> str:
     """CTEs that end in ``<tag>_top(id, score)``."""
     name, key, cols = corpus
-    tree = fts.parse(query)
-    leaves = list(dict.fromkeys(tree.leaves()))
+    leaves, condition, scored = BY_HAND[query]
 
     def count(col: int, phrase: tuple[str, ...]) -> str:
         test = " and ".join(f"c{col}[i + {k}] = '{t}'" for k, t in enumerate(phrase))
         return f"len(list_filter(range(1, len(c{col}) - {len(phrase)} + 2), lambda i: {test}))"
 
-    def holds(n) -> str:
-        if n.op == "leaf":
-            return f"f{leaves.index(n.phrase)} > 0"
-        op = {"and": "and", "or": "or", "not": "and not"}[n.op]
-        return f"(({holds(n.left)}) {op} ({holds(n.right)}))"
-
     lists = ", ".join(f"{sql_tokens(c)} as c{i}" for i, c in enumerate(cols))
     counts = ", ".join(" + ".join(count(i, p) for i in range(len(cols))) + f" as f{k}" for k, p in enumerate(leaves))
     total = " + ".join(f"len(c{i})" for i in range(len(cols)))
     stats = ", ".join(f"sum((f{k} > 0)::int)::double as d{k}" for k in range(len(leaves)))
     part = " + ".join(
-        f"(case when ln((n - d{k} + 0.5) / (d{k} + 0.5)) <= 0 then {fts.LEAST_IDF} else ln((n - d{k} + 0.5) / (d{k} + 0.5)) end) * (f{k} * {fts.K1 + 1}) / (f{k} + {fts.K1} * (1 - {fts.B} + {fts.B} * len_ / avg_))"
-        for k in [leaves.index(p) for p in tree.scored()]
+        f"(case when ln((n - d{k} + 0.5) / (d{k} + 0.5)) <= 0 then 0.000001 else ln((n - d{k} + 0.5) / (d{k} + 0.5)) end) * (f{k} * 2.2) / (f{k} + 1.2 * (0.25 + 0.75 * len_ / avg_))"
+        for k in scored
     )
     return f"""{tag}_tok as (select {key} as id, {lists} from {name}),
 {tag}_cnt as (select id, {counts}, {total} as len_ from {tag}_tok),
 {tag}_st as (select count(*)::double as n, avg(len_) as avg_, {stats} from {tag}_cnt),
-{tag}_top as (select id, round(-({part}), 9) as score from {tag}_cnt, {tag}_st where {holds(tree)} order by score, id limit {fts.LEG})"""
+{tag}_top as (select id, round(-({part}), 9) as score from {tag}_cnt, {tag}_st where {condition} order by score, id limit {fts.LEG})"""
 
 
 def sql_knn(source: str, key: str, tag: str = "v") -> str:
@@ -158,14 +164,30 @@ def sql_hybrid(query: str, top_k: int) -> str:
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
+def highlights(spark: SparkSession, d: str) -> DataFrame:
+    """Marked stretches of every symbol that holds a word of the query."""
+    h = fts.highlights("snapshot queue", F.col("source_text"))
+    return table(spark, d, "symbols").select("symbol_id", h.alias("h")).where(F.size("h") > 0).select("symbol_id", F.size("h").alias("n_highlights"), F.array_join("h", "\n").alias("highlights"))
+
+
+def hybrid_embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Both legs over the symbols' own texts: embedded as indexing does it, against the embedded query."""
+    rows, embedder = table(spark, d, "symbols"), vector.HashedNgrams()
+    prompt = F.concat("kind", F.lit(" "), "name", F.lit(": "), F.coalesce("source_text", F.lit("")))
+    made = vector.embed_column(rows.select("symbol_id", prompt.alias("t")), "t", embedder, "code2code").select("symbol_id", "embedding")
+    near = vector.knn(made, "symbol_id", "embedding", vector.QueryEmbedder(embedder)("drain snapshot"))
+    found = code.hybrid_search(leg(spark, d, CODE, "drain snapshot"), near, rows, table(spark, d, "files"))
+    return found.select("symbol_id", "name", "file_path", "score", "confidence", "match_reason", F.round("rrf", 8).alias("rrf"))
+
+
 def queries() -> dict:
-    plain = (tokens, knn_code, knn_embeddings, hybrid_rrf, doc_hybrid_rrf, find_definition, topic_discovery, topic_snippets, simple_highlights)
+    plain = (tokens, knn_code, knn_embeddings, hybrid_rrf, doc_hybrid_rrf, find_definition, topic_discovery, topic_snippets, simple_highlights, highlights, hybrid_embedded)
     return {n: partial(bm25, n) for n in QUERIES} | {("fts_tokens" if f is tokens else f.__name__): f for f in plain}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {n: f"with {sql_leg(c, q)} select id as {c[1]}, round(score, 6) as score from k_top" for n, (c, q) in QUERIES.items()}
-    t = " union all ".join(f"select symbol_id as id, unnest({sql_tokens(c)}) as term from symbols" for c in CODE_COLS)
+    t = " union all ".join(f"select symbol_id as id, unnest({sql_tokens(c, FOLD)}) as term from symbols" for c in CODE_COLS)
     out["fts_tokens"] = f"select term, count(distinct id)::bigint as n_rows, count(*)::bigint as n_places from ({t}) group by 1"
     out["knn_code"] = f"with {sql_knn(ONE_VECTOR, 'symbol_id')} select id as symbol_id, distance from v_top"
     out["knn_embeddings"] = f"with {sql_knn('embeddings', 'vec_id')} select id as vec_id, distance from v_top"
@@ -194,4 +216,13 @@ select file_path, place::int as place, name, kind, line_start || '-' || line_end
     out["simple_highlights"] = f"""with l as (select symbol_id, list_transform(list_filter(list_transform(string_split(source_text, chr(10))[1:20], lambda x: {STRIP.format('x')}), lambda x: length(x) > 10 and (contains(lower(x), 'snapshot') or contains(lower(x), 'queue')))[1:3],
   lambda x: case when length(substring(x, 1, 100)) > 50 then substring(x, 1, 97) || '...' else x end) as h from symbols)
 select symbol_id, len(h)::int as n_highlights, array_to_string(h, chr(10)) as highlights from l where len(h) > 0"""
+    part, head = "[\\p{L}\\p{N}\\p{Co}]+[^\\p{L}\\p{N}\\p{Co}]*", "^[\\p{L}\\p{N}\\p{Co}]+"
+    out["highlights"] = f"""with p as (select symbol_id, regexp_extract_all(source_text, '{part}') as p from symbols where source_text is not null),
+k as (select *, list_transform(p, lambda x: list_contains(['snapshot', 'queue'], lower(regexp_extract(x, '{head}')))) as k from p),
+h as (select *, list_filter(range(1, len(k) + 1), lambda i: k[i]) as hits from k),
+s as (select *, list_reduce(list_transform(hits, lambda i: [i]), lambda a, b: case when b[1] >= a[-1] + 20 then list_concat(a, b) else a end) as starts from h where len(hits) > 0),
+r as (select *, list_sort(list_transform(starts, lambda s: {{'n': -len(list_filter(hits, lambda i: i >= s and i < s + 20)), 's': s}}))[1:3] as ranked from s),
+t as (select symbol_id, list_filter(list_transform(ranked, lambda r: case when r.s > 1 then '...' else '' end || regexp_replace(array_to_string(list_transform(range(r.s, least(r.s + 20, len(p) + 1)),
+  lambda i: case when k[i] then '**' || regexp_replace(p[i], '({head})', '\\1**') else p[i] end), ''), '\\s+$', '') || case when r.s + 19 < len(p) then '...' else '' end), lambda x: length(x) > 10) as h from r)
+select symbol_id, len(h)::int as n_highlights, array_to_string(h, chr(10)) as highlights from t where len(h) > 0"""
     return out

@@ -45,9 +45,9 @@ from r join files f using (file_id) left join c on c.file_id = r.file_id and c.l
 
 
 def file_structure(spark: SparkSession, d: str) -> DataFrame:
-    """Of the file with the smallest path among those with the most symbols' worth of lines: here simply the smallest path."""
+    """Of the file with the smallest path."""
     files = table(spark, d, "files")
-    return code.file_structure(files.agg(F.min("path")).first()[0], table(spark, d, "symbols"), files)
+    return code.file_structure(files.agg(F.min("path")).scalar(), table(spark, d, "symbols"), files)
 
 
 def all_structures(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +81,18 @@ def dead_code_all(spark: SparkSession, d: str) -> DataFrame:
     return deadcode.candidates(table(spark, d, "symbols"), table(spark, d, "files"), table(spark, d, "references_"), include_tests=True).select("symbol_id", "confidence")
 
 
+def _case_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = spark.createDataFrame(CASE_FILES, "file_id long, path string")
+    symbols = spark.createDataFrame([(*s, f"{s[2]} {s[1]}") for s in CASE_SYMBOLS], "symbol_id long, name string, kind string, file_id long, line_start int, line_end int, source_text string")
+    return symbols, files, spark.createDataFrame(CASE_REFERENCES, "symbol_name string, file_id long, line_number int")
+
+
+def dead_code_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Dead, living, recursive, nested, shared, private, tested and excluded symbols at the default confidence."""
+    found = deadcode.find_dead_code(*_case_tables(spark))
+    return found.select("symbol_id", "name", "kind", "file_path", "line_start", "confidence", F.size("reasons").alias("n_reasons"))
+
+
 def extracted_references(spark: SparkSession, d: str) -> DataFrame:
     """Every identifier of every line as a reference to its name."""
     words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))))
@@ -110,6 +122,19 @@ def dead_code_limitations(spark: SparkSession, d: str) -> DataFrame:
     return deadcode.limitations(table(spark, d, "symbols"), table(spark, d, "files")).withColumn("blind_extensions", F.array_join("blind_extensions", ","))
 
 
+# Fixed rows: one situation a file.
+CASE_FILES = [(k, p) for k, p in enumerate(("/r/dead.py", "/r/alive.py", "/r/recursive.py", "/r/sibling.py", "/r/tests/test_x.py", "/r/a.py", "/r/b.py", "/r/__init__.py", "/r/foo.js", "/r/main.go", "/r/shared_a.py", "/r/shared_b.py", "/r/both.py"), 1)]
+CASE_SYMBOLS = [
+    (1, "compute_dead", "function", 1, 1, 3), (2, "compute_alive", "function", 2, 1, 3), (3, "recurse", "function", 3, 1, 5), (4, "Foo", "class", 4, 1, 10), (5, "bar", "method", 4, 2, 4), (6, "baz", "method", 4, 5, 7),
+    (7, "test_helper", "function", 5, 1, 2), (8, "crossed", "function", 6, 1, 3), (9, "__init__", "method", 8, 1, 2), (10, "main", "function", 10, 1, 9), (11, "<anonymous@5>", "function", 9, 5, 6), (12, "foo.js", "file", 9, 1, 40),
+    (13, "_helper", "method", 9, 10, 12), (14, "_priv_a", "function", 13, 1, 2), (15, "public_b", "function", 13, 3, 4), (16, "process", "function", 11, 1, 2), (17, "process", "function", 12, 1, 2), (18, "unused_twice", "function", 11, 5, 6),
+    (19, "unused_twice", "function", 12, 5, 6), (20, "exported", "function", 8, 5, 6), (21, "setting", "variable", 1, 9, 9),
+]
+CASE_REFERENCES = [
+    ("compute_dead", 1, 1), ("compute_alive", 2, 1), ("compute_alive", 2, 10), ("recurse", 3, 1), ("recurse", 3, 2), ("bar", 4, 2), ("bar", 4, 6), ("baz", 4, 5), ("Foo", 4, 1), ("test_helper", 5, 1), ("crossed", 6, 1), ("crossed", 7, 5),
+    ("_helper", 9, 10), ("_priv_a", 13, 1), ("public_b", 13, 3), ("process", 11, 1), ("process", 12, 1), ("process", 12, 8), ("exported", 8, 5), ("exported", 8, 5),
+]
+
 _EXT = r"lower(regexp_extract({}, '[^/.][^/]*?(\.[^./]*)$', 1))"
 _TEST = r"(regexp_matches(lower(replace({0}, '\', '/')), '(^|/)(conftest\.py|test_[^/]*|[^/]*(" + "|".join(e.replace(".", r"\.") for e in deadcode.text.TEST_ENDINGS) + r"))$') or regexp_matches(lower(replace({0}, '\', '/')), '(^|/)(" + "|".join(deadcode.text.TEST_FOLDERS) + r")(/|$)'))"
 
@@ -145,6 +170,12 @@ dead as (select n.*, h.share, exists (select 1 from deco x where x.file_id = n.f
 DEAD_SQL = f"""with {_candidates_sql(False, True)} select symbol_id, name, kind, file_path, line_start, {_CONFIDENCE} as confidence, {_REASONS} as n_reasons,
   case when length({_FULL}) > {text.EXCERPT_LENGTH} then substring({_FULL}, 1, {text.EXCERPT_LENGTH - 3}) || '...' else {_FULL} end as source_excerpt
 from dead where {_CONFIDENCE} >= {deadcode.MIN_CONFIDENCE} order by confidence desc, file_path, line_start, symbol_id limit {deadcode.TOP_K}"""
+_CASES = (
+    f"files(file_id, path) as (values {', '.join(map(repr, CASE_FILES))}), symbols(symbol_id, name, kind, file_id, line_start, line_end) as (values {', '.join(map(repr, CASE_SYMBOLS))}), "
+    f"references_(symbol_name, file_id, line_number) as (values {', '.join(map(repr, CASE_REFERENCES))})"
+)
+CASES_SQL = f"""with {_CASES}, {_candidates_sql(False, False)} select symbol_id::bigint as symbol_id, name, kind, file_path, line_start, {_CONFIDENCE} as confidence, {_REASONS} as n_reasons from dead
+where {_CONFIDENCE} >= {deadcode.MIN_CONFIDENCE} order by confidence desc, file_path, line_start, symbol_id limit {deadcode.TOP_K}"""
 DEAD_ALL_SQL = f"with {_candidates_sql(True, False)} select symbol_id, {_CONFIDENCE} as confidence from dead"
 SCORING_SQL = f"with v(name, kind, file_path, share, decorated) as (values {', '.join(repr(r).replace('True', 'true').replace('False', 'false') for r in SCORED)}) select name, kind, file_path, {_CONFIDENCE} as confidence, {_REASONS} as n_reasons, {_excluded(False)} as excluded from v"
 EXTRACTED_SQL = DEAD_SQL.replace("above as", _REFS_SQL + ", above as").replace(_excluded(False), _excluded(True)).replace(f">= {deadcode.MIN_CONFIDENCE}", ">= 0").replace(f"limit {deadcode.TOP_K}", "limit 500")
@@ -163,16 +194,17 @@ left join o p on p.doc_file_id = c.doc_file_id and p.chunk_index = c.chunk_index
 
 
 def docstring_anti(spark: SparkSession, d: str) -> DataFrame:
-    """Variables' and classes' first lines stand for extracted docstrings."""
+    """First lines of texts, short ones among them, stand for extracted docstrings."""
     s, f = table(spark, d, "symbols"), table(spark, d, "files")
     found = s.join(f.select("file_id", "path"), "file_id").select("path", "name", "line_start", "line_end", text.signature(F.col("source_text")).alias("docstring"))
-    return docs.new_docstrings(found.dropDuplicates(["path", "name", "line_start"]).drop("docstring").withColumn("docstring", F.lit("x" * 30)), table(spark, d, "doc_files"), table(spark, d, "doc_chunks")).select("path", "name", "line_start", "chunk_index")
+    return docs.new_docstrings(found, table(spark, d, "doc_files"), table(spark, d, "doc_chunks")).select("path", "name", "line_start", "docstring", "chunk_index")
 
 
-DOCSTRING_SQL = """with found as (select distinct f.path, s.name, s.line_start from symbols s join files f using (file_id)),
+DOCSTRING_SQL = f"""with found as (select path, name, line_start, min(docstring) as docstring from (select f.path, s.name, s.line_start,
+    case when length({_FIRST}) > {text.SIGNATURE_LENGTH} then substring({_FIRST}, 1, {text.SIGNATURE_LENGTH}) || '...' else {_FIRST} end as docstring from symbols s join files f using (file_id) where length(source_text) > 0) where length(trim(docstring, ' ')) >= 20 group by 1, 2, 3),
 st as (select f.path, c.chunk_index, c.section_title, c.line_start from doc_files f join doc_chunks c using (doc_file_id) where f.doc_type = 'docstring'),
 fresh as (select * from found x where not exists (select 1 from st where st.path = x.path and st.section_title = x.name and st.line_start = x.line_start))
-select path, name, line_start, (coalesce((select max(chunk_index) from st where st.path = fresh.path), -1) + row_number() over (partition by path order by line_start, name))::int as chunk_index from fresh"""
+select path, name, line_start, docstring, (coalesce((select max(chunk_index) from st where st.path = fresh.path), -1) + row_number() over (partition by path order by line_start, name))::int as chunk_index from fresh"""
 
 
 def commits(spark: SparkSession, d: str) -> DataFrame:
@@ -186,11 +218,11 @@ _COMMITS = "commits as (select -doc_id as seq, sha256(doc_id::varchar) as full_h
 
 def commit_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem")
-    key = F.sha2(F.col("l_orderkey").cast("string"), 256).alias("full_hash")
-    return rows.groupBy(key, F.concat(F.lit("src/part_"), (F.col("l_partkey") % 50).cast("string"), F.lit(".py")).alias("path")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("insertions"), F.count(F.lit(1)).alias("deletions"))
+    key = F.sha2(F.col("l_partkey").cast("string"), 256).alias("full_hash")
+    return rows.groupBy(key, F.concat(F.lit("src/supplied_"), F.col("l_suppkey").cast("string"), F.lit(".py")).alias("path")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("insertions"), F.count(F.lit(1)).alias("deletions"))
 
 
-_STATS = "stats as (select sha256(l_orderkey::varchar) as full_hash, 'src/part_' || (l_partkey % 50) || '.py' as path, sum(l_quantity::bigint)::bigint as insertions, count(*)::bigint as deletions from lineitem group by 1, 2)"
+_STATS = "stats as (select sha256(l_partkey::varchar) as full_hash, 'src/supplied_' || l_suppkey || '.py' as path, sum(l_quantity::bigint)::bigint as insertions, count(*)::bigint as deletions from lineitem group by 1, 2)"
 _SHOWN = f"seq, substring(full_hash, 1, 7) as hash, {_STRIP.format('message')} as message, author"
 
 
@@ -199,12 +231,16 @@ def commit_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_history(spark: SparkSession, d: str) -> DataFrame:
-    return history.file_history(commits(spark, d), commit_stats(spark, d), "src/part_7.py").drop("date", "full_hash")
+    return history.file_history(commits(spark, d), commit_stats(spark, d), "src/supplied_7.py").drop("date", "full_hash")
 
 
 def commit_detail(spark: SparkSession, d: str) -> DataFrame:
-    newest = commits(spark, d).where("-seq % 32 < 8").agg(F.min_by("full_hash", "seq")).first()[0]
-    return history.commit_detail(commits(spark, d), commit_stats(spark, d), newest[:10]).drop("full_hash")
+    """Of the newest commit."""
+    return history.detail_of(commits(spark, d), commit_stats(spark, d)).drop("full_hash")
+
+
+def files_changed(spark: SparkSession, d: str) -> DataFrame:
+    return history.files_changed(commits(spark, d), commit_stats(spark, d)).select("seq", "hash", "author", "files_changed")
 
 
 def blame_islands(spark: SparkSession, d: str) -> DataFrame:
@@ -323,7 +359,7 @@ def short_docs_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     named = (
-        find_references, file_structure, all_structures, signatures, dead_code, dead_code_all, dead_code_extracted, reference_counts, dead_code_scoring, dead_code_limitations, context_chunks, docstring_anti, commit_search, file_history, commit_detail,
+        find_references, file_structure, all_structures, signatures, dead_code, dead_code_all, dead_code_cases, dead_code_extracted, reference_counts, dead_code_scoring, dead_code_limitations, context_chunks, docstring_anti, commit_search, file_history, commit_detail, files_changed,
         blame_islands, kind_histogram, ext_histogram, ext_histogram_compat, index_stats, last_indexed, freshness_split, freshness_hash, upsert_files, stale_cleanup, symbol_dedup, reference_dedup, file_fallback, short_docs_filter, window_chunks, markdown_sections, extracted_symbols,
     )
     return {f.__name__: f for f in named}
@@ -337,6 +373,7 @@ def oracle_sql() -> dict[str, str]:
         "signatures": SIGNATURES_SQL,
         "dead_code": DEAD_SQL,
         "dead_code_all": DEAD_ALL_SQL,
+        "dead_code_cases": CASES_SQL,
         "dead_code_extracted": EXTRACTED_SQL,
         "reference_counts": f"with {LINES_SQL}, {_REFS_SQL} select symbol_name, count(*)::bigint as n_lines, count(distinct file_id)::bigint as n_files from references_ group by 1",
         "dead_code_scoring": SCORING_SQL,
@@ -344,8 +381,9 @@ def oracle_sql() -> dict[str, str]:
         "context_chunks": CONTEXT_SQL,
         "docstring_anti": DOCSTRING_SQL,
         "commit_search": f"with {_COMMITS}, newest as (select * from commits order by seq limit {history.SCAN_FACTOR * history.MAX_RESULTS}) select {_SHOWN} from newest where contains(lower(message), 'snapshot') order by seq limit {history.MAX_RESULTS}",
-        "file_history": f"with {_COMMITS}, {_STATS} select {_SHOWN} from commits where full_hash in (select full_hash from stats where path = 'src/part_7.py') order by seq limit {history.MAX_RESULTS}",
-        "commit_detail": f"with {_COMMITS}, {_STATS}, c as (select * from commits where -seq % 32 < 8 order by seq limit 1) select substring(c.full_hash, 1, 7) as hash, {_STRIP.format('c.message')} as message, c.author, s.path, s.insertions, s.deletions from c left join stats s using (full_hash)",
+        "file_history": f"with {_COMMITS}, {_STATS} select {_SHOWN} from commits where full_hash in (select full_hash from stats where path = 'src/supplied_7.py') order by seq limit {history.MAX_RESULTS}",
+        "commit_detail": f"with {_COMMITS}, {_STATS}, c as (select * from commits order by seq limit 1) select substring(c.full_hash, 1, 7) as hash, {_STRIP.format('c.message')} as message, c.author, s.path, s.insertions, s.deletions from c left join stats s using (full_hash)",
+        "files_changed": f"with {_COMMITS}, {_STATS} select seq, substring(full_hash, 1, 7) as hash, author, (select count(distinct path) from stats s where s.full_hash = c.full_hash)::bigint as files_changed from commits c",
         "blame_islands": BLAME_SQL,
         "kind_histogram": "select kind, count(*)::bigint as n from symbols group by 1",
         "ext_histogram": f"select * from (select {_EXT.format('path')} as ext, count(*)::bigint as n from files group by 1) where ext <> '' order by n desc, ext limit {stats.TOP_EXTENSIONS}",

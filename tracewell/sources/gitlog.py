@@ -36,6 +36,11 @@ def find_root(path: str) -> str:
     return git(folder or ".", "rev-parse", "--show-toplevel").strip()
 
 
+def diff(root: str, commit: str, target: str) -> str | None:
+    """What a commit changed in one file against its first parent (or against nothing), as a patch; None if nothing."""
+    return git(root, "diff-tree", "-p", "-m", "--first-parent", "--root", "--no-commit-id", "--no-renames", commit, "--", target) or None
+
+
 @dataclass
 class Slice(InputPartition):
     start: int
