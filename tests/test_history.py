@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 
 from tests.conftest import rows
+from tracewell.api import Engine
 from tracewell.errors import EngineError
 from tracewell.operators import history
 from tracewell.sources import gitlog
@@ -33,6 +34,13 @@ def test_git_sources(spark, repo):
     assert rows(stat.where(stat.full_hash == head), "path", "insertions", "deletions") == [("f1.txt", 1, 0), ("test.py", 2, 1)]
     detail = history.commit_detail(log, stat, head[:9])
     assert [r["path"] for r in detail.collect()] == ["f1.txt", "test.py"]
+    assert rows(history.files_changed(log, stat), "message", "files_changed")[0] == ("Fix the second line\n\nand add a third", 2)
+    patch = gitlog.diff(repo, head, "test.py")
+    assert "-two" in patch and "+TWO" in patch and "f1.txt" not in patch and gitlog.diff(repo, head, "f0.txt") is None
+    first = log.orderBy("seq", ascending=False).first()["full_hash"]
+    assert "+one" in gitlog.diff(repo, first, "test.py")
+    tool = Engine(spark).search_history(head[:8], "commit_detail", repo, target_file="test.py")
+    assert tool["diff"] == patch and tool["parent_hashes"] == [first] and tool["author_email"] == "t@x" and [r["path"] for r in tool["results"]] == ["test.py"]
     groups = history.blame_groups(gitlog.read(spark, "git_blame", repo, "test.py"))
     assert [(r["line_start"], r["line_end"], r["content"]) for r in groups.orderBy("line_start").collect()] == [(1, 1, "one"), (2, 3, "TWO\nthree")]
     assert history.search_commits(log, "SECOND").count() == 1

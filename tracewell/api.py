@@ -1,17 +1,21 @@
 """The tools: indexing, search, history and dead code over one directory; results are plain dicts.
 
-Errors come back in wire form. Results are cut to their top-k before they reach the driver.
+Errors come back in wire form. Results are cut to their top-k, or to a page, before they reach
+the driver.
 """
 
 from __future__ import annotations
 
 import functools
+import logging
 import os
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import logs
 from . import validation as val
 from .errors import ValidationError, wire
 from .functions import text
@@ -22,6 +26,9 @@ from .sources import gitlog
 # The modes of the routed tools.
 CODE_MODES = ("topic_discovery", "definition", "references", "file_structure")
 HISTORY_MODES = ("commits", "commit_detail", "file_history", "blame")
+#: Rows of one page of a result that no top-k bounds.
+PAGE = 1000
+logger = logging.getLogger(__name__)
 HINT = "The index is empty: run index_codebase on the directory first."
 
 
@@ -29,7 +36,10 @@ def _tool(f: Callable) -> Callable:
     @functools.wraps(f)
     def run(*args, **kwargs) -> dict:
         try:
-            return f(*args, **kwargs)
+            with logs.timed(f.__name__, logger) as said:
+                out = f(*args, **kwargs)
+                said |= {k: out[k] for k in ("count", "files_indexed") if k in out}
+                return out
         except Exception as e:  # noqa: BLE001 - every failure has a wire form
             return wire(e)
 
@@ -37,9 +47,16 @@ def _tool(f: Callable) -> Callable:
 
 
 def _rows(df: DataFrame) -> list[dict]:
+    """Of a result that is bounded already."""
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def _page(df: DataFrame, offset: int = 0, limit: int = PAGE) -> tuple[list[dict], bool]:
+    """One page of an ordered result, and whether more follows."""
+    rows = _rows(df.offset(offset).limit(limit + 1))
+    return rows[:limit], len(rows) > limit
+
+
 class Engine:
     def __init__(self, spark: SparkSession, index_root: str | None = None, embedder: vector.Embedder | None = None, reranker: vector.Reranker | None = None):
         self.spark, self.index_root, self.reranker = spark, index_root, reranker
@@ -83,24 +100,32 @@ class Engine:
             "symbol_kinds": stats.as_map(stats.kind_histogram(store.table("symbols")), "kind").first()[0],
             "file_extensions": stats.as_map(stats.extension_histogram(store.table("files")), "ext").first()[0],
             "last_indexed": {"code": last["code"], "docs": last["docs"]},
-            "embedding": store.model,
+            "freshness": {"age_seconds": {k: None if t is None else round(time.time() - t, 1) for k, t in store.last_commit_time().items()}},
+            "embedding": store.model | {"device": vector.choose_device()},
+            "storage": store.storage(),
         }
 
     @_tool
-    def index_codebase(self, directory: str) -> dict:
-        return {"status": "ok", **self.store(directory).index(str(val.directory(directory)))}
+    def index_codebase(self, directory: str, progress: Callable[[int, int, str], None] | None = None) -> dict:
+        """``progress(done, of, what)`` is told each phase, with the pace where files are counted."""
+        store, root, began = self.store(directory), str(val.directory(directory)), time.perf_counter()
+        took = {"warm_up_seconds": round(vector.warm_up(self.embedder), 3)}
+        out = store.index(root, progress)
+        seconds = time.perf_counter() - began
+        files = out["files_indexed"] + out["files_skipped"] + out["doc_files_indexed"] + out["doc_files_skipped"]
+        return {"status": "ok", "directory": root, **out, "performance": took | {"total_time_seconds": round(seconds, 2), "files_per_second": round(files / seconds, 1), "total_files_processed": files}}
 
     @_tool
-    def search_code(self, query: str, search_type: str, directory: str, top_k: int | None = None) -> dict:
-        mode, q, store = val.one_of(search_type, CODE_MODES), val.query(query), self.store(directory)
+    def search_code(self, query: str, search_type: str, directory: str, top_k: int | None = None, offset: int = 0) -> dict:
+        more, (mode, q, store) = False, (val.one_of(search_type, CODE_MODES), val.query(query), self.store(directory))
         if mode == "definition":
             found = code.exact_or_first(self._hybrid(store, q, code.DEFINITION_POOL), q)
-            out = _rows(code.with_context(found, store.table("symbols"), store.table("doc_files"), store.table("doc_chunks")).drop("rrf", "bm25_rank", "vec_rank"))
+            out = _rows(code.with_context(found, store.table("symbols"), store.table("doc_files"), store.table("doc_chunks")).withColumn("highlights", fts.highlights(q, F.col("source_text"))).drop("rrf", "bm25_rank", "vec_rank"))
         elif mode == "references":
-            out = _rows(code.find_references(q, store.table("references_"), store.table("files"), store.table("symbols"), store.table("file_lines")))
+            out, more = _page(code.find_references(q, store.table("references_"), store.table("files"), store.table("symbols"), store.table("file_lines")), offset)
         elif mode == "file_structure":
             path = q if os.path.isabs(q) else os.path.join(str(val.directory(directory)), q)
-            out = _rows(code.file_structure(path, store.table("symbols"), store.table("files")))
+            out, more = _page(code.file_structure(path, store.table("symbols"), store.table("files")), offset)
         else:
             k = val.top_k(top_k, default=code.TOPIC_FILES)
             hits = self._hybrid(store, q, code.TOPIC_POOL).persist()
@@ -110,7 +135,7 @@ class Engine:
                 snippets.setdefault(r.pop("file_path"), []).append(r)
             hits.unpersist()
             out = [r | {"top_snippets": snippets.get(r["file_path"], [])} for r in out]
-        return self._hinted({"status": "ok", "search_type": mode, "query": q, "results": out, "count": len(out)}, "results", store)
+        return self._hinted({"status": "ok", "search_type": mode, "query": q, "results": out, "count": len(out), "more": more}, "results", store)
 
     @_tool
     def search_docs(self, query: str, directory: str, top_k: int | None = None, include_context: bool = False) -> dict:
@@ -125,7 +150,8 @@ class Engine:
         return self._hinted({"status": "ok", "query": q, "results": out, "count": len(out)}, "results", store)
 
     @_tool
-    def search_history(self, query: str, search_type: str, directory: str, target_file: str | None = None, line_start: int | None = None, line_end: int | None = None, max_results: int = history.MAX_RESULTS) -> dict:
+    def search_history(self, query: str, search_type: str, directory: str, target_file: str | None = None, line_start: int | None = None, line_end: int | None = None, max_results: int = history.MAX_RESULTS, offset: int = 0) -> dict:
+        extra: dict = {}
         mode = val.one_of(search_type, HISTORY_MODES)
         start, end = val.line_range(line_start, line_end)
         repo = gitlog.find_root(str(val.directory(directory)))
@@ -135,6 +161,9 @@ class Engine:
             out = history.search_commits(gitlog.read(self.spark, "git_log", repo, target_file), val.query(query), max_results)
         elif mode == "commit_detail":
             out = history.commit_detail(gitlog.read(self.spark, "git_log", repo), gitlog.read(self.spark, "git_stat", repo), query, target_file)
+            head = gitlog.read(self.spark, "git_log", repo).where(F.startswith("full_hash", F.lit(val.commit_hash(query)))).orderBy("seq").select("full_hash", "author_email", "parents").first()
+            if head:
+                extra = {"author_email": head["author_email"], "parent_hashes": list(head["parents"]), "diff": gitlog.diff(repo, head["full_hash"], target_file) if target_file else None}
         elif mode == "file_history":
             commits = gitlog.read(self.spark, "git_log", repo, target_file)
             out = history.file_history(commits, commits.select("full_hash", F.lit(target_file).alias("path")), target_file, max_results)
@@ -142,11 +171,11 @@ class Engine:
             groups = history.blame_groups(gitlog.read(self.spark, "git_blame", repo, target_file), start, end)
             commits = gitlog.read(self.spark, "git_log", repo).select(F.substring("full_hash", 1, 7).alias("hash"), "author", "date", text.first_line(F.col("message")).alias("commit_message"))
             out = groups.join(commits, "hash", "left").orderBy("line_start")
-        rows = _rows(out)
+        rows, more = _page(out, offset)
         for r in rows:
             if r.get("date") is not None:
                 r["date"] = r["date"].isoformat()
-        return {"status": "ok", "search_type": mode, "results": rows, "count": len(rows)}
+        return {"status": "ok", "search_type": mode, "results": rows, "count": len(rows), "more": more} | extra
 
     @_tool
     def find_dead_code(self, directory: str, min_confidence: float = deadcode.MIN_CONFIDENCE, kinds: list[str] | None = None, include_tests: bool = False, top_k: int | None = None) -> dict:

@@ -175,6 +175,11 @@ class CommitLog:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def size(self, folder: str) -> int:
+        """Bytes under a folder."""
+        path = self._jvm.org.apache.hadoop.fs.Path(folder)
+        return self._fs.getContentSummary(path).getLength() if self._fs.exists(path) else 0
+
     def delete_on_exit(self) -> None:
         """The folder goes when the application ends."""
         self._fs.deleteOnExit(self._path(""))
