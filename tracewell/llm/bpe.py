@@ -196,3 +196,19 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str = DEFAULT_VOCAB) -> DataFrame:
     """``id_col, n_tokens int``: the length of what ``encode_corpus`` gives; 0 for null and empty text."""
     return _encode(df, id_col, text_col, vocab_path, True)
+
+
+def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocab_path: str = DEFAULT_VOCAB) -> DataFrame:
+    """``id_col, text``: the texts that ids stand for, the exact inverse of ``encode_corpus`` for texts; an empty list gives the empty text."""
+    schema = T.StructType([T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(vocab_path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        alphabet = byte_alphabet()
+        spelled = {i: bytes(alphabet[c] for c in s) for s, i in vocab.items() if all(c in alphabet for c in s)}
+        for b in batches:
+            texts = [b"".join(spelled[i] for i in ids).decode("utf-8") for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=schema.names)
+
+    return encoded.select(id_col, ids_col).mapInArrow(run, schema)
