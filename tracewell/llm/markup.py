@@ -43,50 +43,71 @@ def _slot(key, dim: int) -> int:
     return zlib.crc32(repr(key).encode("utf-8", "replace")) % dim
 
 
-def block_vectors(blocks, memo: dict) -> np.ndarray:
-    """One row per block: hashed tag path, hashed signs with what stands around them, hashed words, shape."""
-    out = np.zeros((len(blocks), INPUT), "f4")
+def block_vectors(blocks, memo: dict, alone=None) -> np.ndarray:
+    """One row per block: hashed tag path, hashed signs with what stands around them, hashed words, shape.
 
-    def at(key, start: int, dim: int) -> int:
-        slot = memo.get(key)
-        if slot is None:
-            slot = memo[key] = start + _slot(key, dim)
-        return slot
-
-    for row, b in zip(out, blocks):
+    ``alone`` says of each block whether it is the only one of its text; by default the blocks are one text's.
+    """
+    n_blocks = len(blocks)
+    out = np.zeros((n_blocks, INPUT), "f4")
+    if not n_blocks:
+        return out
+    places: list[int] = []
+    shape = np.zeros((n_blocks, SHAPE_DIM), "f4")
+    words_in = np.ones((n_blocks, 1), "f4")
+    add, find = places.append, _TOKEN.finditer
+
+    def slot(key, start: int, dim: int) -> int:
+        made = memo[key] = start + _slot(key, dim)
+        return made
+
+    for k, b in enumerate(blocks):
+        base = k * INPUT
         for depth, tag in enumerate(b.path):
-            row[_slot(tag, PATH_DIM)] += 1.0
-            row[_slot((depth, tag), PATH_DIM)] += 0.5
+            out[k, _slot(tag, PATH_DIM)] += 1.0
+            out[k, _slot((depth, tag), PATH_DIM)] += 0.5
         text, n = b.text, len(b.text)
         words = signs = between = 0
         last, after_sign, line_start = "^", True, True
-        for m in _TOKEN.finditer(text):
+        for m in find(text):
             t = m[0]
             c = t[0]
             if c == "\n":
                 line_start = True
                 continue
-            a, z = m.span()
             if c.isalnum():
                 words += 1
                 between += 1
-                word = "0" if c.isdigit() else t.lower()[:9]
-                row[at((1, word), PATH_DIM + SIGN_DIM, WORD_DIM)] += 1.0
-                if after_sign and a and not text[a - 1].isspace():
-                    row[at((2, last[-3:], word), PATH_DIM, SIGN_DIM)] += 1.0
-                after_sign = False
+                place = memo.get(t)
+                if place is None:
+                    place = memo[t] = PATH_DIM + SIGN_DIM + _slot((1, "0" if c.isdigit() else t.lower()[:9]), WORD_DIM)
+                add(base + place)
+                if after_sign:
+                    a = m.start()
+                    if a and not text[a - 1].isspace():
+                        key = (2, last[-3:], "0" if c.isdigit() else t.lower()[:9])
+                        add(base + (memo.get(key) or slot(key, PATH_DIM, SIGN_DIM)))
+                    after_sign = False
             else:
                 signs += 1
-                spaced = (a == 0 or text[a - 1].isspace(), z >= n or text[z].isspace())
-                row[at((3, t[:5], line_start, *spaced), PATH_DIM, SIGN_DIM)] += 1.0
-                row[at((4, last[:4], min(between, 3), t[:4], *spaced), PATH_DIM, SIGN_DIM)] += 1.0
+                a, z = m.span()
+                before, behind = a == 0 or text[a - 1].isspace(), z >= n or text[z].isspace()
+                key = (3, t[:5], line_start, before, behind)
+                add(base + (memo.get(key) or slot(key, PATH_DIM, SIGN_DIM)))
+                key = (4, last[:4], between if between < 3 else 3, t[:4], before, behind)
+                add(base + (memo.get(key) or slot(key, PATH_DIM, SIGN_DIM)))
                 last, between, after_sign = t, 0, True
             line_start = False
         if len(memo) > 300_000:
             memo.clear()
-        row[PATH_DIM : PATH_DIM + SIGN_DIM] = np.log1p(row[PATH_DIM : PATH_DIM + SIGN_DIM])
-        row[PATH_DIM + SIGN_DIM : PATH_DIM + SIGN_DIM + WORD_DIM] /= max(1, words) / 4
-        row[-SHAPE_DIM:] = (np.log1p(n) / 8, np.log1p(words) / 6, text.count("\n") > 0, len(blocks) == 1, text[:1].isspace(), words == 0, signs == 0, np.log1p(signs) / 5)
+        words_in[k] = max(1, words) / 4
+        shape[k] = (n, words, "\n" in text, n_blocks == 1 if alone is None else alone[k], text[:1].isspace(), words == 0, signs == 0, signs)
+    np.add.at(out.reshape(-1), np.array(places, "i8"), np.float32(1.0))
+    signs_at = slice(PATH_DIM, PATH_DIM + SIGN_DIM)
+    out[:, signs_at] = np.log1p(out[:, signs_at])
+    out[:, PATH_DIM + SIGN_DIM : -SHAPE_DIM] /= words_in
+    shape[:, 0], shape[:, 1], shape[:, 7] = np.log1p(shape[:, 0]) / 8, np.log1p(shape[:, 1]) / 6, np.log1p(shape[:, 7]) / 5
+    out[:, -SHAPE_DIM:] = shape
     return out
 
 
@@ -226,8 +247,12 @@ def classify(model: BiLstm, block_lists, memo: dict) -> list[np.ndarray]:
     from .markup_rules import NO_MARKUP
 
     out = [np.zeros(0, int)] * len(block_lists)
-    # Only the projections of a long text are held, so its vectors are made in stretches.
-    projected = [np.concatenate([model.project(block_vectors(b[k : k + HELD], memo)) for k in range(0, len(b), HELD)]) if b else None for b in block_lists]
+    # Only projections are held, so the vectors of many texts, or of a stretch of a long one, are made at a time.
+    every = [b for blocks in block_lists for b in blocks]
+    alone = [len(blocks) == 1 for blocks in block_lists for _ in blocks]
+    stretches = [model.project(block_vectors(every[k : k + HELD], memo, alone[k : k + HELD])) for k in range(0, len(every), HELD)]
+    ends = np.cumsum([len(b) for b in block_lists])
+    projected = [p if len(p) else None for p in np.split(np.concatenate(stretches), ends[:-1])] if every else [None] * len(block_lists)
     order = sorted((i for i, p in enumerate(projected) if p is not None), key=lambda i: len(projected[i]))
     at = 0
     while at < len(order):
