@@ -100,13 +100,13 @@ def passage_shingles(passages: list[str], memo: dict[str, int]) -> tuple[np.ndar
     for k, p in enumerate(passages):
         words = _WORDS.findall(p.lower())
         counts[k] = len(words)
-        for w in words:
-            h = memo.get(w)
-            if h is None:
-                if len(memo) > 500_000:
-                    memo.clear()
-                h = memo[w] = xxhash.xxh64_intdigest(w)
-            hashed.append(h)
+        known = [memo.get(w) for w in words]
+        if None in known:
+            if len(memo) > 500_000:
+                memo.clear()
+            memo.update((w, xxhash.xxh64_intdigest(w)) for w in words)
+            known = [memo[w] for w in words]
+        hashed += known
     flat = np.array([*hashed, *[0] * SHINGLE], "u8")
     sizes = np.where(counts > 0, np.maximum(1, counts - SHINGLE + 1), 0)
     if not sizes.sum():
@@ -147,8 +147,8 @@ EVIDENT, TRUSTED, OTHER = 2, 1, 0
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each row of (id, text) what shows it to be residue, or else its passages that report nothing."""
-    from .residue_rules import REPORTED, read, skeleton, trusted
+    """Of each row of (id, text) what shows it to be residue, or else its passages."""
+    from .residue_rules import read, skeleton, trusted
 
     memo: dict[str, int] = {}
     for batch in batches:
@@ -166,10 +166,8 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if evident:
                     rows.append((i, EVIDENT, None, None))
                     continue
-                for p in passages:
-                    if not REPORTED.search(p):
-                        others.append(skeleton(p))
-                        owners.append(i)
+                others += map(skeleton, passages)
+                owners += [i] * len(passages)
             h, sizes = passage_shingles(others, memo)
             # Sets are compared, so a shingle counts once in its passage.
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -227,15 +225,15 @@ def _alike(packed: bytes):
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, keys) to the passages (key, text) of the text that have one of the keys."""
-    from .residue_rules import read, skeleton
+    """(text, keys) to the passages (key, text) of the text that have one of the keys and report nothing."""
+    from .residue_rules import REPORTED, read, skeleton
 
     for batch in batches:
         found: dict[int, str] = {}
         for text, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             wanted = set(keys)
             for p in map(skeleton, read(text)[1]):
-                if (k := _key(p)) in wanted:
+                if (k := _key(p)) in wanted and not REPORTED.search(p):
                     found[k] = p
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["key", "text"])
 
