@@ -5,10 +5,10 @@ it stands in place of content; everywhere else a passage is residue because it i
 of one: near-duplicates are found with SimHash signatures of word shingles in partitioned tables
 (a signature is cut into bands, and passages of comparable length that agree in a band meet in
 one bucket), verified by Hamming distance and by the Jaccard similarity of their shingles, and
-the trusted labels spread through the connected components. Reported, quoted and fenced passages
-take no label.
+the trusted labels spread through the connected components, link by link until no new passage is
+reached. Reported, quoted and fenced passages take no label.
 
-Only components that hold a trusted passage are built. A passage can be a near-duplicate of a
+Only components that hold a trusted passage are walked. A passage can be a near-duplicate of a
 passage only if at least SIMILARITY of its own shingles occur there, so a bit table of fixed size
 over the labelled passages' shingles tells, without losing any, which passages of the corpus can
 be linked to them; the tables then hold these only. The texts are read once: what is kept of a
@@ -453,26 +453,6 @@ def near_duplicates(texts: DataFrame, sigs: DataFrame, block: int = BLOCK) -> Da
     return apart.unionByName(together).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """``node, component``: the smallest node that each linked node reaches.
-
-    Labels move along links and are then shortened by one lookup, so rounds grow with the
-    logarithm of a component's width. Each round is cut through the shared folder.
-    """
-    both = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("near"))
-        moved = labels.join(near, labels.node == near.u, "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
-        hop = moved.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        after = cut(moved.join(hop, "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"), "old"))
-        done = after.where("component <> old").isEmpty()
-        labels = after.drop("old")
-        if done:
-            return labels
-    raise RuntimeError("components did not settle")
-
-
 def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, trusted boolean``: the rows of ``docs`` with residue; ``trusted`` is false if the label came from near-duplicates only.
 
@@ -494,13 +474,10 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         brought = rows.join(asked, "id").select("text", "keys").mapInArrow(_texts, "key long, text string").groupBy("key").agg(F.min("text").alias("text"))
         items = cut(brought.withColumn("old", F.lit(False)).unionByName(fresh.withColumn("old", F.lit(True))))
         texts = items.select(F.col("key").alias("rep"), "text")
-        links = cut(near_duplicates(texts, texts.mapInArrow(_sign, "rep long, size int, sig array<long>")))
-        reached = items.where("false").select("key", "text")
-        if not links.isEmpty():
-            member = components(links).select(F.col("node").alias("key"), "component")
-            tainted = member.join(items.where("old").select("key"), "key", "left_semi").select("component").distinct()
-            reached = member.join(tainted, "component", "left_semi").join(items.where("not old").select("key", "text"), "key").select("key", "text")
-        reached = cut(reached)
+        links = near_duplicates(texts, cut(texts.mapInArrow(_sign, "rep long, size int, sig array<long>")))
+        ends = links.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("key"), F.col("a").alias("other")))
+        linked = ends.join(items.where("old").select(F.col("key").alias("other")), "other", "left_semi").select("key").distinct()
+        reached = cut(items.where("not old").join(linked, "key", "left_semi").select("key", "text"))
         # Copies of a labelled passage need no link, they are the same node.
         named = named.unionByName(near.join(fresh.select("key").unionByName(reached.select("key")), "key", "left_semi").select("id", F.lit(False).alias("trusted")))
         labelled, fresh = labelled.unionByName(reached), reached
