@@ -38,6 +38,8 @@ SUBSTRINGS, BASE_ROWS, GROWTH = 5, 100_000, 0.18
 WIDTHS = (4, 32)
 #: Rows per block of a bucket; hot buckets are worked as pairs of blocks.
 BLOCK = 4096
+#: Rows of a block of all rows that short rows meet.
+MEETING = 65_536
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -210,7 +212,8 @@ def neighbours(vectors: DataFrame, id_col: str = "symbol_id", vec_col: str = "em
     that shares no substring is missed unless its row found fewer than k.
     """
     spark = vectors.sparkSession
-    spans = spans or layout(vectors.count(), min(dim, 64))
+    rows = vectors.count()
+    spans = spans or layout(rows, min(dim, 64))
     base = cut(encode(usable(vectors, id_col, vec_col, dim), spans, dim, fit_rows))
     probes = base.select("id", F.explode("buckets").alias("bucket"))
     # Buckets beyond one block; their number is bounded by rows * substrings / block.
@@ -239,9 +242,10 @@ def neighbours(vectors: DataFrame, id_col: str = "symbol_id", vec_col: str = "em
         few = cut(short(found))
     if not few.isEmpty():
         # What is short even then meets all rows, block by block.
-        asked = few.select("id", "unit", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("x"), F.lit(1).alias("ask"))
-        every = base.select("id", "unit", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("x"), F.lit(0).alias("ask"))
-        rest = asked.unionByName(every).repartition(parts, "x").sortWithinPartitions("x", "ask").mapInArrow(_all_worker(dim, k), _OUT)
+        blocks = max(parts, rows // MEETING + 1)
+        asked = few.select("id", "unit", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x"), F.lit(1).alias("ask"))
+        every = base.select("id", "unit", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("x"), F.lit(0).alias("ask"))
+        rest = asked.unionByName(every).repartition(blocks, "x").sortWithinPartitions("x", "ask").mapInArrow(_all_worker(dim, k), _OUT)
         found = _merged(found, _top(rest, k), k)
     return found.select("id", F.explode("best").alias("e")).select("id", F.col("e.other").alias("other"), (-F.col("e.n")).alias("sim"))
 
