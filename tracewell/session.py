@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import pathlib
 import shutil
@@ -32,7 +33,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local master, where driver and
-    executors are one process, may fall back to a temporary folder of the machine.
+    executors are one process, may fall back to a temporary folder of the machine, which goes
+    with the process.
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
@@ -42,7 +44,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "tracewell-checkpoints")
+        named = tempfile.mkdtemp(prefix="tracewell-checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return named
 
