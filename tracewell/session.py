@@ -7,6 +7,7 @@ import os
 import pathlib
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,19 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Written once into the shared folder, by column, and read back; the table goes with the application.
+
+    Its size is known when it is joined, so a small one is broadcast and a large one isn't.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per context, so that they need not have it installed."""
     sc = spark.sparkContext
