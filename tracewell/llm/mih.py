@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, stored
 
 DIM, K = 64, 5
 #: Rows on which the projection and rotation are fitted (the index holds every row).
@@ -218,6 +218,8 @@ def neighbours(vectors: DataFrame, id_col: str = "symbol_id", vec_col: str = "em
     probes = base.select("id", F.explode("buckets").alias("bucket"))
     # Buckets beyond one block; their number is bounded by rows * substrings / block.
     hot = probes.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("nb"))
+    # Stored, so that the vectors needn't be shuffled to meet the few hot buckets.
+    hot = stored(hot)
     full = base.select("id", "unit", F.explode("buckets").alias("bucket"))
     laid = full.join(hot, "bucket", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")

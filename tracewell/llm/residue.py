@@ -19,7 +19,6 @@ asked about in turn until none comes.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir, cut
+from ..session import cut, stored
 
 #: Words per shingle and the least similarity of near-duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -238,16 +237,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["key", "text"])
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Written once into the shared folder, by column, and read back; the table goes with the application."""
-    spark = df.sparkSession
-    folder = f"{checkpoint_dir(spark)}/passages-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def _banded(sigs: DataFrame) -> DataFrame:
     """``bucket, size_class, low, rep, sig``: a row per band and size class a text can meet others in.
 
@@ -461,7 +450,7 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near-duplicate search; an empty table gives no rows; further columns are ignored.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\S")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    passages = _stored(rows.mapInArrow(_passages, _PASSAGES))
+    passages = stored(rows.mapInArrow(_passages, _PASSAGES), "passages")
     labelled = fresh = cut(passages.where(F.col("mark") == TRUSTED).groupBy("key").agg(F.min("text").alias("text")))
     named = passages.where(F.col("mark") > OTHER).select("id", F.lit(True).alias("trusted"))
     others = passages.where(F.col("mark") == OTHER).select("id", "key", "places")
@@ -470,7 +459,7 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # One row brings the text of a passage, however many have it.
         asked = near.groupBy("key").agg(F.min("id").alias("id")).join(labelled.select("key"), "key", "left_anti").groupBy("id").agg(F.collect_list("key").alias("keys"))
         # Stored, so that its size is known when the texts are joined: a small one is sent to them, a large one meets them by id.
-        asked = _stored(asked)
+        asked = stored(asked)
         brought = rows.join(asked, "id").select("text", "keys").mapInArrow(_texts, "key long, text string").groupBy("key").agg(F.min("text").alias("text"))
         items = cut(brought.withColumn("old", F.lit(False)).unionByName(fresh.withColumn("old", F.lit(True))))
         texts = items.select(F.col("key").alias("rep"), "text")
