@@ -257,7 +257,7 @@ def _widened(few: DataFrame, base: DataFrame, spans: list[tuple[int, int, int]])
     flips = F.array(*[F.array(*[F.lit(1 << b).cast("long") for b in range(w)]) for _, _, w in spans])
     near = F.flatten(F.transform("buckets", lambda v, j: F.transform(F.get(flips, j), lambda f: v.bitwiseXOR(f))))
     asked = few.select(F.explode(near).alias("bucket"), "id", "unit")
-    members = base.select(F.explode("buckets").alias("bucket"), "id", "unit").join(asked.select("bucket").distinct(), "bucket", "left_semi")
+    members = base.select(F.explode("buckets").alias("bucket"), "id", "unit").join(stored(asked.select("bucket").distinct()), "bucket", "left_semi")
     zero, one = F.lit(0), F.lit(1)
     return asked.select("bucket", zero.alias("lo"), one.alias("hi"), one.alias("side"), "id", "unit").unionByName(members.select("bucket", zero.alias("lo"), one.alias("hi"), F.lit(2).alias("side"), "id", "unit"))
 
