@@ -119,7 +119,7 @@ def test_vector_edges(spark):
 
 
 def test_layout_follows_the_rows():
-    for rows, tables, width in ((100, 16, 4), (7_600, 6, 10), (77_000, 5, 12), (770_000, 8, 16), (10**9, 29, 27)):
+    for rows, tables, width in ((100, 16, 4), (7_600, 6, 10), (77_000, 5, 12), (770_000, 12, 16), (10**9, 50, 30)):
         spans = mih.layout(rows)
         assert tables - 2 <= len(spans) <= tables + 3 and abs(min(w for _, _, w in spans) - width) <= 5
         assert all(rows / 2**w < 200 for _, _, w in spans)

@@ -33,7 +33,7 @@ FIT_ROWS = 16_384
 #: Rows that a bucket has about; sets the width of a substring.
 BUCKET_ROWS = 8
 #: Substrings up to BASE_ROWS rows, and the power of the rows with which their number grows beyond.
-SUBSTRINGS, BASE_ROWS, GROWTH = 5, 100_000, 0.18
+SUBSTRINGS, BASE_ROWS, GROWTH = 5, 100_000, 0.25
 #: Least and greatest width of a substring.
 WIDTHS = (4, 32)
 #: Rows per block of a bucket; hot buckets are worked as pairs of blocks.
