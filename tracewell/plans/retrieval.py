@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import code, docs, fts, fusion, vector
-from ..session import table
+from ..session import stored, table
 
 CODE_COLS, DOC_COLS, TEXT_COLS = ("name", "source_text"), ("content", "section_title"), ("text",)
 CODE, DOCS, DOCUMENTS = ("symbols", "symbol_id", CODE_COLS), ("doc_chunks", "chunk_id", DOC_COLS), ("documents", "doc_id", TEXT_COLS)
@@ -25,10 +25,30 @@ QUERIES = {
 PROBE = [round(((i * 37) % 64 - 32) / 185.0, 6) for i in range(64)]
 
 
-def leg(spark: SparkSession, d: str, corpus: tuple, query: str) -> DataFrame:
+#: Full-text indexes of this application: by application, corpus and the state of its table's files.
+_indexes: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of a table's files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)))
+
+
+def index(spark: SparkSession, d: str, corpus: tuple) -> tuple[DataFrame, DataFrame]:
+    """Postings sorted by term and lengths of a corpus, built once and then only read; a changed table is indexed anew."""
     name, key, cols = corpus
-    rows = table(spark, d, name)
-    return fts.bm25(fts.postings(rows, key, cols), fts.lengths(rows, key, cols), query)
+    known = (spark.sparkContext.applicationId, d, corpus, _state(spark, f"{d}/{name}.parquet"))
+    if known not in _indexes:
+        rows = table(spark, d, name)
+        by_term = fts.postings(rows, key, cols).repartitionByRange("term").sortWithinPartitions("term", "id")
+        _indexes[known] = stored(by_term, "postings"), stored(fts.lengths(rows, key, cols), "lengths")
+    return _indexes[known]
+
+
+def leg(spark: SparkSession, d: str, corpus: tuple, query: str) -> DataFrame:
+    return fts.bm25(*index(spark, d, corpus), query)
 
 
 def bm25(name: str, spark: SparkSession, d: str) -> DataFrame:
