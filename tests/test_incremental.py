@@ -170,3 +170,17 @@ def test_a_crash_before_the_commit_leaves_no_trace(spark, tmp_path, monkeypatch)
     assert again.watermark() == (0, 0, None) and again.output().count() == 0
     assert again.run(s, base, AT[2]) == 1
     assert rows(again.output(), "path") == [("a",)]
+
+
+def test_a_mount_without_hard_links(spark, tmp_path, monkeypatch):
+    import os
+
+    def refused(*a, **k):
+        raise PermissionError("no links here")
+
+    monkeypatch.setattr(os, "link", refused)
+    log = CommitLog(spark, str(tmp_path))
+    log.commit({"seq": 1, "by": "a"})
+    with pytest.raises(RuntimeError):
+        log.commit({"seq": 1, "by": "b"})
+    assert log.last() == {"seq": 1, "by": "a"}

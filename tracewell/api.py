@@ -21,6 +21,7 @@ from .errors import ValidationError, wire
 from .functions import text
 from .index_store import IndexStore
 from .operators import code, deadcode, docs, fts, history, stats, vector
+from .session import cut
 from .sources import gitlog
 
 # The modes of the routed tools.
@@ -119,7 +120,7 @@ class Engine:
     def search_code(self, query: str, search_type: str, directory: str, top_k: int | None = None, offset: int = 0) -> dict:
         more, (mode, q, store) = False, (val.one_of(search_type, CODE_MODES), val.query(query), self.store(directory))
         if mode == "definition":
-            found = code.exact_or_first(self._hybrid(store, q, code.DEFINITION_POOL), q)
+            found = cut(code.exact_or_first(self._hybrid(store, q, code.DEFINITION_POOL), q))
             out = _rows(code.with_context(found, store.table("symbols"), store.table("doc_files"), store.table("doc_chunks")).withColumn("highlights", fts.highlights(q, F.col("source_text"))).drop("rrf", "bm25_rank", "vec_rank"))
         elif mode == "references":
             out, more = _page(code.find_references(q, store.table("references_"), store.table("files"), store.table("symbols"), store.table("file_lines")), offset)

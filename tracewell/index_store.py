@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .errors import IndexingError
 from .extract import code as code_extract
 from .extract import markdown
+from .functions import text
 from .operators import docs, fts, merge, vector
 from .operators.incremental import CommitLog
 from . import logs
@@ -76,8 +77,9 @@ class IndexStore:
         """Size and folders of the current snapshot, and size of everything under the root."""
         entry = self.current()
         folders = [f for t in entry["tables"].values() for f in t] if entry else []
-        megabytes = lambda n: round(n / 2**20, 2)
-        return {"snapshot": entry["seq"] if entry else None, "folders": len(folders), "size_mb": megabytes(sum(self.log.size(f) for f in folders)), "total_mb": megabytes(self.log.size(self.root))}
+        sizes = self.spark.createDataFrame([(sum(self.log.size(f) for f in folders), self.log.size(self.root))], "current long, total long")
+        shown = sizes.select(text.megabytes(F.col("current")).alias("size_mb"), text.megabytes(F.col("total")).alias("total_mb")).first()
+        return {"snapshot": entry["seq"] if entry else None, "folders": len(folders), **shown.asDict()}
 
     def _publish(self, tables: dict[str, tuple[DataFrame, DataFrame, bool]]) -> int:
         """``tables``: name to (what stays of the old rows, new rows, whether old rows go)."""

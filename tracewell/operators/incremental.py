@@ -206,6 +206,17 @@ class CommitLog:
     def has(self, seq: int) -> bool:
         return self._fs.exists(self._path(f"_commits/{seq:012d}.json"))
 
+    @staticmethod
+    def _link(draft: str, final: str, content: bytes) -> None:
+        try:
+            os.link(draft, final)
+        except FileExistsError:
+            raise
+        except OSError:
+            # A mount without hard links: created only once all the same, but not in one step with its content.
+            with open(final, "xb") as out:
+                out.write(content)
+
     def commit(self, entry: dict) -> None:
         """All or nothing; raises if another run has taken the same number."""
         final = self._path(f"_commits/{entry['seq']:012d}.json")
@@ -222,7 +233,7 @@ class CommitLog:
         out.close()
         try:
             if scheme == "file":
-                os.link(draft.toUri().getPath(), final.toUri().getPath())
+                self._link(draft.toUri().getPath(), final.toUri().getPath(), bytes(content))
             else:
                 none = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
                 self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(draft, final, none)

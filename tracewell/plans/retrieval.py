@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import code, docs, fts, fusion, vector
-from ..session import stored, table
+from ..session import cut, stored, table
 
 CODE_COLS, DOC_COLS, TEXT_COLS = ("name", "source_text"), ("content", "section_title"), ("text",)
 CODE, DOCS, DOCUMENTS = ("symbols", "symbol_id", CODE_COLS), ("doc_chunks", "chunk_id", DOC_COLS), ("documents", "doc_id", TEXT_COLS)
@@ -92,7 +92,8 @@ def doc_hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def find_definition(spark: SparkSession, d: str) -> DataFrame:
-    hits = code.exact_or_first(hybrid(spark, d, "run", code.DEFINITION_POOL), "run")
+    # A handful of rows that is read twice below.
+    hits = cut(code.exact_or_first(hybrid(spark, d, "run", code.DEFINITION_POOL), "run"))
     found = code.with_context(hits, table(spark, d, "symbols"), table(spark, d, "doc_files"), table(spark, d, "doc_chunks"))
     return found.select("symbol_id", "name", "file_path", "signature", F.col("parent.name").alias("parent_name"), F.col("parent.kind").alias("parent_kind"), "docstring", "score")
 
