@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 FIT_CHUNKS = 10_000
 #: Longer chunks aren't used for the training, so that the driver's share stays bounded.
 FIT_LENGTH = 20_000
+#: Blocks of the training sample at most, for the same reason; further texts of the sample are left out.
+FIT_BLOCKS = 60_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 8, 48, 0.01, 3
 PATH_DIM, SIGN_DIM, WORD_DIM, SHAPE_DIM = 24, 1024, 48, 8
 INPUT = PATH_DIM + SIGN_DIM + WORD_DIM + SHAPE_DIM
@@ -232,9 +234,12 @@ def train(texts: list[str], seed: int = SEED) -> BiLstm:
     """A labeller for the block kinds, from texts whose blocks the exact rules label."""
     from .markup_rules import KINDS, split_blocks
 
-    sequences, labels, memo = [], [], {}
+    sequences, labels, memo, left = [], [], {}, FIT_BLOCKS
     for text in texts:
         blocks = split_blocks(text)
+        left -= len(blocks)
+        if left < 0:
+            break
         if blocks:
             sequences.append(block_vectors(blocks, memo))
             labels.append(np.array([b.kind for b in blocks]))
