@@ -175,3 +175,33 @@ def test_split_edges(spark):
 def test_split_of_a_very_long_text():
     spans = splitter.split_points("word " * 100_000)
     assert spans[0][0] == 0 and spans[-1][1] == 500_000 and all(b - a <= 1000 for a, b in spans)
+
+
+def test_splits_are_the_cheapest():
+    """Against a plain dynamic program over all candidates."""
+
+    def cost(text, spans):
+        where, pen = splitter.candidates(text)
+        pen = dict(zip(where, pen)) | {len(text): 0.0}
+        few = -(-(len(text) - 10) // 90)
+        even = (len(text) + (few - 1) * 10) / few
+        return sum(pen[b] + splitter.PIECE_COST + splitter.EVEN_WEIGHT * ((b - a - even) / 100) ** 2 for a, b in spans)
+
+    def cheapest(text):
+        where, _ = splitter.candidates(text)
+        where = [p for p in where if p > 10] + [len(text)]
+        best = {}
+        for j, p in enumerate(where):
+            ways = [[(0, p)]] if p <= 100 else []
+            ways += [[*best[q], (q - 10, p)] for q in where[:j] if q in best and p - q + 10 <= 100]
+            if ways:
+                best[p] = min(ways, key=lambda w: cost(text, w))
+        return best[len(text)]
+
+    rng = random.Random(3)
+    for k in range(25):
+        text = "".join(rng.choice(["a", "bc ", "def. ", "\n", "\n\n", ", ", "x" * rng.randint(1, 70), "漢字。"]) for _ in range(rng.randint(20, 45))).strip()
+        if len(text) <= 100:
+            continue
+        spans = splitter.split_points(text, 100, 10)
+        assert cost(text, spans) == pytest.approx(cost(text, cheapest(text))), text

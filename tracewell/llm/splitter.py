@@ -3,7 +3,9 @@
 Candidate cuts carry a penalty by what they break (paragraph, line, sentence, clause, word,
 inside of a word). A shortest path over them minimises the sum of cut penalties and squared
 deviations from the even size, under the hard limits: no piece longer than the maximum, and
-consecutive pieces share exactly the given number of characters.
+consecutive pieces share exactly the given number of characters. The ways with the fewest pieces
+are tried first, all positions of a piece at once; only where a bound doesn't rule out more
+pieces is the path sought over all ways.
 """
 
 from __future__ import annotations
@@ -77,6 +79,49 @@ def split_points(text: str, max_size: int = MAX_SIZE, overlap: int = OVERLAP) ->
     pen = np.array([pen[i] for i in keep] + [0.0])
     few = -(-(n - overlap) // (max_size - overlap))
     even = (n + (few - 1) * overlap) / few
+    cuts, cost = _fewest(pos, pen, few, even, max_size, overlap)
+    # Any way with more pieces costs at least so much: its pieces, its cuts at the best boundaries there are, and the least deviation by convexity.
+    more = few + 1
+    least = more * PIECE_COST + float(np.sort(pen[:-1])[:few].sum()) + more * EVEN_WEIGHT * (((n + few * overlap) / more - even) / max_size) ** 2
+    if not cost <= least:
+        cuts = _shortest_path(pos, pen, even, max_size, overlap)
+    return [(0 if i == 0 else cuts[i - 1] - overlap, c) for i, c in enumerate(cuts)]
+
+
+def _fewest(pos, pen, few: int, even: float, max_size: int, overlap: int) -> tuple[list[int], float]:
+    """The best cuts into exactly ``few`` pieces and their cost, piece by piece over the positions that leave room for the rest."""
+    import numpy as np
+
+    n, step, scale = int(pos[-1]), max_size - overlap, EVEN_WEIGHT / max_size**2
+    layers, backs = [], []
+    for k in range(1, few + 1):
+        lo, hi = np.searchsorted(pos, n - (few - k) * step), np.searchsorted(pos, max_size + (k - 1) * step, side="right")
+        at = np.arange(lo, hi)
+        if not len(at):
+            return [], np.inf
+        own = pen[at] + PIECE_COST
+        if k == 1:
+            cost, back = own + scale * (pos[at] - even) ** 2, None
+        else:
+            added = pos[at][:, None] - pos[layers[-1]][None, :]
+            way = np.where((added > 0) & (added <= step), cost[None, :] + scale * (added + overlap - even) ** 2, np.inf)
+            back = way.argmin(1)
+            cost = way[np.arange(len(at)), back] + own
+        layers.append(at)
+        backs.append(back)
+    cuts, j, least = [], len(layers[-1]) - 1, float(cost[-1])
+    if not np.isfinite(least):
+        return [], np.inf
+    for at, back in zip(reversed(layers), reversed(backs)):
+        cuts.append(int(pos[at[j]]))
+        j = int(back[j]) if back is not None else 0
+    return cuts[::-1], least
+
+
+def _shortest_path(pos, pen, even: float, max_size: int, overlap: int) -> list[int]:
+    """The best cuts into any number of pieces."""
+    import numpy as np
+
     m = len(pos)
     lo = np.searchsorted(pos, pos - (max_size - overlap)).tolist()
     # The squared deviation of a piece (a, j) expands into parts of a, parts of j and one product.
@@ -103,8 +148,7 @@ def split_points(text: str, max_size: int = MAX_SIZE, overlap: int = OVERLAP) ->
     while j >= 0:
         cuts.append(int(pos[j]))
         j = int(back[j])
-    cuts.reverse()
-    return [(0 if i == 0 else cuts[i - 1] - overlap, c) for i, c in enumerate(cuts)]
+    return cuts[::-1]
 
 
 def split_oversized(df: DataFrame, text_col: str = "content", keys: tuple[str, ...] = ("chunk_id", "doc_file_id", "chunk_index", "section_title"), max_size: int = MAX_SIZE, overlap: int = OVERLAP) -> DataFrame:
