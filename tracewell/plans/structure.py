@@ -346,8 +346,8 @@ def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extracted_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols and references taken anew from the texts of the stored classes and whole-file fallbacks."""
-    rows = table(spark, d, "symbols").where("kind in ('class', 'file') and source_text is not null").join(table(spark, d, "files").select("file_id", "path"), "file_id")
+    """Symbols and references taken anew from the texts of all stored symbols."""
+    rows = table(spark, d, "symbols").where("source_text is not null").join(table(spark, d, "files").select("file_id", "path"), "file_id")
     found = code_extract.extract_all(rows.select(F.col("symbol_id").alias("file_id"), "path", F.col("source_text").alias("content")))
     return found.groupBy("file_id", "what", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("line_end").alias("last_line"))
 
