@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tracewell.llm import generated as G
@@ -55,6 +58,14 @@ def test_threshold():
     assert G.threshold([(0.5, 1.0)] * 20 + [(0.5, 0.0)] * 60) > 1
 
 
+def test_threshold_of_all_equals_that_of_a_list(spark):
+    rng = random.Random(5)
+    lists = [[(round(rng.random() ** 2, places), float(rng.random() < 0.3)) for _ in range(n)] for n, places in ((400, 1), (700, 3), (30, 6))]
+    lists += [[(p, float(rng.random() < p)) for p in (round(rng.random(), 2) for _ in range(500))], [(0.5, 1.0)] * 20, [(0.9, 1.0)], []]
+    for pairs in lists:
+        assert G.threshold_of_all(spark.createDataFrame(pairs, "probability double, label double")) == pytest.approx(G.threshold(pairs))
+
+
 def frames(spark):
     files, symbols = [], []
     for i in range(1, 481):
@@ -82,6 +93,35 @@ def test_forest_finds_what_has_no_notice(spark):
     assert G.classify(plain, symbols.where("file_id % 4 <> 2")).count() == 0
 
 
+def test_every_file_counts_for_fit_and_threshold(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    n = 24_000
+    ids = spark.range(1, n + 1, numPartitions=4)
+    table = F.concat(F.lit("T = [\n"), F.repeat(F.concat(F.lit("  ["), F.col("id").cast("string"), F.lit(", 7],\n")), 9), F.lit("]\n"))
+    code = F.concat(F.lit("def run"), F.col("id").cast("string"), F.lit("(value):\n    total = value + 1\n    return total\n"))
+    symbols = ids.select(F.col("id").alias("symbol_id"), F.col("id").alias("file_id"), F.lit(1).alias("line_start"), F.when(F.col("id") % 10 == 0, table).otherwise(code).alias("source_text"))
+    files = ids.select(F.col("id").alias("file_id"), F.concat(F.lit("p/src/m"), F.col("id").cast("string"), F.lit(".py")).alias("path"))
+    fitted, counted, fit = [], [], RandomForestClassifier.fit
+    over = getattr(G, "threshold_of_all", None)
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: (fitted.append(df.count()), fit(self, df))[1])
+    monkeypatch.setattr(G, "threshold_of_all", lambda df: (counted.append((df.count(), df.select("file_id").distinct().count())), over(df))[1], raising=False)
+    assert {r["file_id"] for r in G.classify(files, symbols).collect()} == set(range(10, n + 1, 10))
+    # The forest that names files is fitted on all; the others leave out each file once, and its probability counts.
+    assert max(fitted) == n and sum(fitted) == G.FOLDS * n
+    assert counted == [(n, n)]
+
+
+def test_bins_count_every_file(spark):
+    # Bins of equal share, none for a constant, and one of its own for what only one file in 64 has.
+    values = spark.range(64_000).select(*[(F.col("id") % 64 if i == 0 else F.lit(0) if i == 1 else F.when(F.col("id") < 63_000, 0).otherwise(F.col("id"))).cast("double").alias(c) for i, c in enumerate(G.FEATURES)])
+    many, none, rare = G.cuts(values)[:3]
+    assert len(many) == G.BINS - 1 and many == sorted(set(many))
+    assert none == [] and len(rare) == 1
+    attrs = G.binned(values.select("*", F.monotonically_increasing_id().alias("file_id"), F.lit(0.0).alias("label"), F.lit(0).alias("fold"))).schema["features"].metadata["ml_attr"]["attrs"]
+    assert set(attrs) == {"numeric"}
+
+
 def test_edges(spark):
     f = spark.createDataFrame([(1, None), (2, "vendor/a.py"), (2, "vendor/a.py"), (None, "vendor/b.py"), (3, "a.py"), (4, "b.py")], "file_id long, path string")
     s = spark.createDataFrame([(1, 1, "# Code generated by x. DO NOT EDIT.\n" + CODE, None), (2, 3, None, 1), (3, None, CODE, 1), (4, 4, "", 1), (5, 4, CODE, None)], "symbol_id long, file_id long, source_text string, line_start int")
